@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import ahocorasick
@@ -30,10 +30,23 @@ from mnemo.llm.tokens import parts
 
 BLANK = "▁"
 #: Encoded chunks and judged pairs kept by a worker; it starts anew beyond. Results never depend on it.
-CACHE = 200_000
+CACHE = 400_000
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
 
+class Known(dict):
+    """Chunks and their ids; a chunk that is not there is encoded when asked for."""
+
+    def __init__(self, encode: Callable[[str], tuple[int, ...]]) -> None:
+        self.encode = encode
+
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
+        if len(self) >= CACHE:
+            self.clear()
+        self[chunk] = ids = self.encode(chunk)
+        return ids
+
+
 class Pieces:
     """A model file's pieces.  Its text rules must be: as it is, a blank put before, blanks kept."""
 
@@ -56,10 +69,12 @@ class Pieces:
         for p, i in self.id.items():
             self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
+        self.size = [len(p) for p in self.pieces]
+        self.plain = re.compile(f"[{''.join(map(re.escape, sorted(self.characters)))}]*").fullmatch
         self.longest_run = max((len(p) for p in self.id if not p.strip(BLANK)), default=1)
         #: A chunk is what no piece crosses: blanks and the word after them.
         self.chunks = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+").findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Known(self.chunk)
         self.pairs: dict[tuple[int, int], bool] = {}
         self.edges: dict[int, tuple[list, list]] = {}
 
@@ -101,7 +116,7 @@ class Pieces:
         """Whether the merges of the text of ``a`` and ``b`` end in these two: no merge over their border comes first."""
         key = a, b
         if key not in self.pairs:
-            if len(self.pairs) > CACHE:
+            if len(self.pairs) > 2 * CACHE:
                 self.pairs.clear()
             (right, left), x, y, apart = (self.edge(a)[0], self.edge(b)[1]), 0, 0, True
             while apart:
@@ -124,18 +139,23 @@ class Pieces:
         """Pieces of a text of known characters, by the best piece that ends at each position."""
         n = len(text)
         came: list[int | None] = [None] * (n + 1)
-        sums = [0.0] + [-np.inf] * n
-        for end, (i, length) in self.automaton.iter(text):
-            start = end + 1 - length
-            if self.bpe:
-                if start == 0 or came[start] is not None and self.follows(came[start], i):
-                    came[end + 1] = i
-            elif sums[start] + self.score[i] > sums[end + 1]:
-                sums[end + 1], came[end + 1] = sums[start] + self.score[i], i
+        came[0] = -1
+        if self.bpe:
+            judged = self.pairs.get
+            for end, (i, length) in self.automaton.iter(text):
+                # no second piece can end where one does
+                if came[end + 1] is None and (last := came[end + 1 - length]) is not None:
+                    if last < 0 or (judged((last, i)) if (last, i) in self.pairs else self.follows(last, i)):
+                        came[end + 1] = i
+        else:
+            sums = [0.0] + [-np.inf] * n
+            for end, (i, length) in self.automaton.iter(text):
+                if (total := sums[end + 1 - length] + self.score[i]) > sums[end + 1]:
+                    sums[end + 1], came[end + 1] = total, i
         out, at = [], n
-        while at > 0 and came[at] is not None:
-            out.append(came[at])
-            at -= len(self.pieces[came[at]])
+        while at > 0 and (i := came[at]) is not None:
+            out.append(i)
+            at -= self.size[i]
         if at:  # merges whose order is not that of their scores: done one by one
             return [self.id[s] for s in self.merged(text)]
         return out[::-1]
@@ -154,6 +174,8 @@ class Pieces:
             body = self.chunk(BLANK + word) if word else ()
             alone = bool(body) and self.pieces[body[0]] != BLANK
             return (*self.blanks(runs - 1 if alone else runs), *(body if alone or not body else body[1:]))
+        if self.plain(text):
+            return tuple(self.path(text))
         for part in self.segments(text):
             if part[0] in self.characters:
                 out += self.path(part)
@@ -177,14 +199,7 @@ class Pieces:
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        chunks = self.chunks(BLANK + text.replace(" ", BLANK))
-        new = set(chunks).difference(self.known)
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = set(chunks)
-        for c in new:
-            self.known[c] = self.chunk(c)
-        return list(chain.from_iterable(map(self.known.__getitem__, chunks)))
+        return list(chain.from_iterable(map(self.known.__getitem__, self.chunks(BLANK + text.replace(" ", BLANK)))))
 
     def decode(self, ids: list[int]) -> str:
         """The text of a list of ids; bytes that are no UTF-8 become replacement characters."""
