@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemo.llm import licenses, media, mixing, pieces, pii, quality, simhash, tokens, urls
+from mnemo.llm import licenses, media, mixing, pieces, pii, quality, repeats, simhash, tokens, urls
 from mnemo.llm.common import table
 
 
@@ -37,6 +37,11 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media.media_columns(table(spark, sf_dir, "documents").select("doc_id", "text"), with_media=False)
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
@@ -50,5 +55,5 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_sentencepiece, op3_token_counts, op4_quality_rules, op5_simhash, op6_license_scan, op8_media_columns, op9_pii_surrogates, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_sentencepiece, op3_token_counts, op4_quality_rules, op5_simhash, op6_license_scan, op7_repeated_passages, op8_media_columns, op9_pii_surrogates, op10_url_filters)}
 ORACLES: dict[str, str] = {}
