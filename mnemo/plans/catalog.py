@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from mnemo.plans import state_queries  # noqa: F401
+from mnemo.plans.registry import ORACLES, QUERIES  # noqa: F401
