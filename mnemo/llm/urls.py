@@ -71,14 +71,14 @@ def log_ratio(labelled: DataFrame, weight: float = 4.0) -> DataFrame:
 
 
 def threshold(scored: DataFrame, steps: int = 100) -> DataFrame:
-    """One row ``t``: where (score, accepted) part best, by balanced accuracy, 0 if a class is missing.
+    """One row ``t``: where (score, accepted) part best, by balanced accuracy, in the middle of the gap there; 0 if a class is missing.
 
     Scores are counted in bins of 1/``steps`` between -8 and 8, so the ordered pass sees at most 16 * ``steps`` rows.
     """
     binned = scored.select(F.floor(F.greatest(F.lit(-8.0), F.least(F.lit(8.0), "score")) * steps).alias("bin"), "accepted")
     binned = binned.groupBy("bin").agg(F.count_if("accepted").alias("n1"), F.count_if(~F.col("accepted")).alias("n0"))
     bins = binned.groupBy().agg(F.sort_array(F.collect_list(F.struct("bin", "n1", "n0"))).alias("bins"), F.sum("n1").alias("all1"), F.sum("n0").alias("all0"))
-    start = F.struct(F.lit(0.0).alias("below1"), F.lit(0.0).alias("below0"), F.lit(-1.0).alias("best"), F.lit(0.0).alias("t"))
+    start = F.struct(F.lit(0.0).alias("below1"), F.lit(0.0).alias("below0"), F.lit(-1.0).alias("best"), F.lit(0.0).alias("t"), F.lit(None).cast("double").alias("last"))
 
     def step(acc: Column, x: Column) -> Column:
         good = (F.col("all1") - acc["below1"]) / F.col("all1") + acc["below0"] / F.col("all0")
@@ -86,7 +86,8 @@ def threshold(scored: DataFrame, steps: int = 100) -> DataFrame:
             (acc["below1"] + x["n1"]).alias("below1"),
             (acc["below0"] + x["n0"]).alias("below0"),
             F.greatest(acc["best"], good).alias("best"),
-            F.when(good > acc["best"], x["bin"] / F.lit(float(steps))).otherwise(acc["t"]).alias("t"),
+            F.when(good > acc["best"], (F.coalesce(acc["last"] + 1, x["bin"]) + x["bin"]) / F.lit(2.0 * steps)).otherwise(acc["t"]).alias("t"),
+            x["bin"].cast("double").alias("last"),
         )
 
     best = F.aggregate("bins", start, step, lambda acc: acc["t"])

@@ -1,0 +1,147 @@
+import re
+
+from pyspark.sql import functions as F
+
+from mnemo.llm import licenses, pii, urls
+from mnemo.llm.licenses import Automaton, scan
+
+
+def plain(text):
+    t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)
+    places, labels = [], set()
+    for phrase, label in licenses.PHRASES:
+        p = phrase.split()
+        found = [i for i in range(len(w)) if w[i : i + len(p)] == p]
+        places += found
+        labels |= {label} if found else set()
+    return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+
+def test_base_places(spark, odd):
+    texts = ["MIT License", "a mit-license, the Apache  License apache license", "cc by cc by", "ccby", "gnu general public licenses", "GNU General Public License", "x é mit license", "mit\nlicense 9"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").unionByName(odd.select("doc_id", "text"))
+    for r in licenses.scanned(df).collect():
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == plain(r.text)
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+    assert licenses.scanned(odd).count() == 9 and licenses.scanned(odd.limit(0)).count() == 0
+
+
+def test_templates():
+    assert scan("Released under the MIT License.")[5] == "mit"
+    assert scan("Licensed under CC BY-NC 4.0.")[5] == "cc-by,cc-by-nc-4.0"
+    assert scan("This work is licensed under the GNU General Public License, version 3.")[5] == "gpl,gpl-3.0"
+    assert scan("Licensed under the Apache License, Version 3.0.")[5] == "apache"
+    a = Automaton("x", "b", "a <<optional>>very<</optional>> big <<any 2>> thing")
+    ends = [a.match(t.encode().split(), 0) for t in ("a big thing", "a very big thing", "a big red thing", "a big red old thing", "a big red old blue thing", "a huge thing")]
+    assert ends == [3, 4, 4, 5, None, None]
+
+
+TEXT = 'Mail john.doe@mail.com or JOHN.DOE@mail.com, call +1 (337) 555-7349 or 337-555-7349. Card 4952935900253052, 4952 9359 0025 3052. IP 10.1.2.3. token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde"'
+NAMES = "Mr. John Smith and Mrs Smith met Frau Petra Weber-Meier; John Smith left. господин Иванов was there."
+
+
+def luhn(n):
+    d = [int(c) for c in n][::-1]
+    return sum(x if i % 2 == 0 else (x * 2 - 9 if x > 4 else x * 2) for i, x in enumerate(d)) % 10 == 0
+
+
+def test_surrogates_keep_form_and_coreference(spark, odd):
+    df = spark.createDataFrame([(1, TEXT), (2, NAMES), (3, "Nothing of the kind. 9.9. Chapter 12."), (4, TEXT)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.replace_entities(df).collect()}
+    t = got[1].text
+    assert got[1].n_entities == 8 and got[4].text == t and got[3].text == "Nothing of the kind. 9.9. Chapter 12." and got[3].n_entities == 0
+    for secret in ("john", "mail.com", "337", "7349", "4952935900253052", "10.1.2.3", "2abc3ff2"):
+        assert secret not in t
+    m = re.fullmatch(r'Mail (\S+@\S+) or (\S+@\S+), call \+1 \((\d{3})\) (\d{3})-(\d{4}) or (\d{3})-(\d{3})-(\d{4})\. Card (\d{16}), (\d{4} \d{4} \d{4} \d{4})\. IP (\d+\.\d+\.\d+\.\d+)\. token = "([0-9a-f]{40})"', t)
+    assert m and m[1].lower() == m[2].lower() and m.group(3, 4, 5) == m.group(6, 7, 8) and m[9] == m[10].replace(" ", "") and luhn(m[9])
+    n = re.fullmatch(r"Mr\. (\w+) (\w+) and Mrs (\w+) met Frau (\w+) ([\w-]+); (\w+) (\w+) left\. господин (\w+) was there\.", got[2].text)
+    assert n and n[2] == n[3] == n[7] and n[1] == n[6] and n[1] in pii.GIVEN["latin", "m"] and n[4] in pii.GIVEN["latin", "f"]
+    assert re.fullmatch("[А-Яа-я]+", n[8]) and "Smith" not in got[2].text
+    other = {r.doc_id: r.text for r in pii.replace_entities(df, key="another").collect()}
+    assert other[1] != t
+    out = pii.replace_entities(odd)
+    assert out.count() == 9 and {r.doc_id: r.text for r in out.collect()}[1] is None and pii.replace_entities(odd.limit(0)).count() == 0
+
+
+def test_distinct_entities_stay_distinct(spark, monkeypatch):
+    """With room for few surrogates, those that collide try again, by a constant of the plan or by a join."""
+    wide = pii.pseudo
+    first = lambda h: F.concat(F.repeat(F.left(h, F.lit(1)), F.lit(62)), F.lit("00"))
+    monkeypatch.setattr(pii, "pseudo", lambda key, kind, value, attempt: F.when(attempt < 1, first(wide(key, kind, value, attempt))).otherwise(wide(key, kind, value, attempt)))
+    rows = [(i, f"ssn {100 + i:03d}-{i:02d}-{1000 + i} and {100 + i:03d}-{i:02d}-{1000 + i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    results = []
+    for limit in (500, 0):
+        got = {r.doc_id: re.findall(r"\d{3}-\d{2}-\d{4}", r.text) for r in pii.replace_entities(df, small_rows=limit).collect()}
+        assert all(len(x) == 2 and x[0] == x[1] for x in got.values()) and len({x[0] for x in got.values()}) == 60
+        results.append(got)
+    assert results[0] == results[1]
+
+
+def test_rules_hosts_and_paths(spark):
+    cases = {
+        "http://A.Example.com/en/x?q#f": ("a.example.com", "/en/x", "example.com/en/", "block"),
+        "https://www.example.com/en/1": ("www.example.com", "/en/1", "www.example.com/en/", "allow"),
+        "https://x.www.example.com/en/": ("x.www.example.com", "/en/", "www.example.com/en/", "allow"),
+        "http://shop.com/": ("shop.com", "/", "com/", "allow"),
+        "http://notexample.com/en/": ("notexample.com", "/en/", "com/", "allow"),
+        "http://a.net/es/": ("a.net", "/es/", "net/es/", "block"),
+        "http://shop.com": ("shop.com", "", None, None),
+        "http://q.org?x://y/z": ("q.org", "", None, None),
+        "no scheme": ("", "", None, None),
+        "a://b://c/d": ("b:", "//c/d", None, None),
+    }
+    df = spark.createDataFrame([(i, u) for i, u in enumerate([*cases, None, ""])], "page_id long, url string").selectExpr("*", "'r' AS rule", "'e' AS extra")
+    out = urls.judge(df).collect()
+    assert len(out) == 12 and all(r.verdict in ("allow", "block") for r in out)
+    for r in out:
+        if r.url in cases:
+            host, path, rule, verdict = cases[r.url]
+            assert (r.host, r.path, r.rule) == (host, path, rule) and verdict in (None, r.verdict)
+        else:
+            assert (r.host, r.path, r.rule, r.score) == ("", "", None, 0.0)
+    assert urls.judge(df.limit(0)).count() == 0
+    one = spark.createDataFrame([(1, "http://x.org/a")], "page_id long, url string")
+    assert [(r.score, r.verdict) for r in urls.judge(one).collect()] == [(0.0, "allow")]
+
+
+def test_models_and_threshold_are_a_plain_computation(spark):
+    import math
+    from collections import Counter
+
+    seen = [("abab", True), ("abba", True), ("zzzz", False), ("zaza", False), ("ab", True)]
+    V, w = urls.V, 4.0
+    code = {c: i + 1 for i, c in enumerate(urls.ALPHABET)}
+    n = {k: {True: Counter(), False: Counter()} for k in range(3)}
+    for u, y in seen:
+        s = [0, 0, *[code[c] for c in u]]
+        for i in range(2, len(s)):
+            for k in range(3):
+                n[k][y][tuple(s[i - k : i + 1])] += 1
+
+    def p(gram, y):
+        total = sum(n[0][y].values())
+        out = (n[0][y][gram[2:]] + 0.5) / (total + 0.5 * V)
+        for k in (1, 2):
+            g = gram[2 - k :]
+            context = sum(v for x, v in n[k][y].items() if x[:-1] == g[:-1])
+            out = (n[k][y][g] + w * out) / (context + w)
+        return out
+
+    df = spark.createDataFrame(seen, "u string, accepted boolean").select(urls.codes(F.col("u")).alias("codes"), "accepted")
+    table = {r.code: r.llr for r in urls.log_ratio(df).collect()}
+    assert len(table) == V**3
+    for gram in [(0, 0, code["a"]), (0, code["a"], code["b"]), (code["z"], code["z"], code["z"]), (code["q"], code["x"], code["a"])]:
+        want = math.log(p(gram, True)) - math.log(p(gram, False))
+        assert abs(table[(gram[0] * V + gram[1]) * V + gram[2]] - want) < 1e-9
+    scored = spark.createDataFrame([(0.5, True), (0.2, True), (-0.1, False), (0.1, False), (-0.4, True)], "score double, accepted boolean")
+    assert abs(urls.threshold(scored).first()[0] - 0.155) < 0.011
+
+
+def test_held_out_urls_are_told_apart(spark):
+    rows = [(i, f"http://h{i % 40}.com/news/article/{i}") for i in range(600)] + [(1000 + i, f"http://h{i % 40}.net/es/casino-{i}-bonus") for i in range(600)]
+    rows += [(3000 + i, f"http://k{i}.org/news/article/{i}") for i in range(50)] + [(4000 + i, f"http://k{i}.org/es/casino-{i}-bonus") for i in range(50)]
+    out = urls.judge(spark.createDataFrame(rows, "page_id long, url string")).where("page_id >= 3000").collect()
+    right = sum((r.verdict == "allow") == (r.page_id < 4000) for r in out)
+    assert right >= 95
