@@ -30,7 +30,7 @@ from mnemo.llm.tokens import parts
 
 BLANK = "▁"
 #: Encoded chunks and judged pairs kept by a worker; it starts anew beyond. Results never depend on it.
-CACHE = 400_000
+CACHE = 300_000
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
 
@@ -72,10 +72,15 @@ class Pieces:
         self.size = [len(p) for p in self.pieces]
         self.plain = re.compile(f"[{''.join(map(re.escape, sorted(self.characters)))}]*").fullmatch
         self.longest_run = max((len(p) for p in self.id if not p.strip(BLANK)), default=1)
-        #: A chunk is what no piece crosses: blanks and the word after them.
-        self.chunks = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+").findall
+        #: A chunk is what no piece crosses: blanks and the word after them, or its parts if letters never share a piece with other marks.
+        odd = "".join(re.escape(c) for c in sorted(self.characters) if re.fullmatch(r"[^\W\d_]", c) and not c.isalpha())
+        apart = re.compile(rf"{BLANK}*(?:[^\W\d_{BLANK}{odd}]+|(?:[^\w{BLANK}]+|[\d_{odd}]+)+)|{BLANK}+").findall
+        coarse = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+").findall
+        self.chunks = apart if all(len(apart(p)) == 1 for p in self.id) else coarse
+        self.plain_ids = np.array([k == NORMAL for k in self.kind])
+        self.byte_ids = np.array([k == BYTE for k in self.kind])
         self.known = Known(self.chunk)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.edges: dict[int, tuple[list, list]] = {}
 
     # merges of BPE models
@@ -114,9 +119,9 @@ class Pieces:
 
     def follows(self, a: int, b: int) -> bool:
         """Whether the merges of the text of ``a`` and ``b`` end in these two: no merge over their border comes first."""
-        key = a, b
+        key = a << 32 | b
         if key not in self.pairs:
-            if len(self.pairs) > 2 * CACHE:
+            if len(self.pairs) > CACHE:
                 self.pairs.clear()
             (right, left), x, y, apart = (self.edge(a)[0], self.edge(b)[1]), 0, 0, True
             while apart:
@@ -145,7 +150,7 @@ class Pieces:
             for end, (i, length) in self.automaton.iter(text):
                 # no second piece can end where one does
                 if came[end + 1] is None and (last := came[end + 1 - length]) is not None:
-                    if last < 0 or (judged((last, i)) if (last, i) in self.pairs else self.follows(last, i)):
+                    if last < 0 or (known if (known := judged(last << 32 | i)) is not None else self.follows(last, i)):
                         came[end + 1] = i
         else:
             sums = [0.0] + [-np.inf] * n
@@ -203,14 +208,19 @@ class Pieces:
 
     def decode(self, ids: list[int]) -> str:
         """The text of a list of ids; bytes that are no UTF-8 become replacement characters."""
-        if not any(self.kind[i] != NORMAL for i in set(ids)):
-            text = "".join(map(self.pieces.__getitem__, ids))
-        else:
-            raw = b"".join(
-                bytes([int(self.pieces[i][1:-1], 16)]) if self.kind[i] == BYTE else self.pieces[i].encode() if self.kind[i] == NORMAL else b" \xe2\x81\x87 " if i == self.unknown else b""
-                for i in ids
-            )
-            text = raw.decode(errors="replace")
+        if self.plain_ids[ids].all() if len(ids) else True:
+            return self.decode_plain(ids)
+        raw = b"".join(
+            bytes([int(self.pieces[i][1:-1], 16)]) if self.kind[i] == BYTE else self.pieces[i].encode() if self.kind[i] == NORMAL else b" \xe2\x81\x87 " if i == self.unknown else b""
+            for i in ids
+        )
+        return self.shown(raw.decode(errors="replace"))
+
+    def decode_plain(self, ids: list[int]) -> str:
+        """The same for ids of ordinary pieces only."""
+        return self.shown("".join(map(self.pieces.__getitem__, ids)))
+
+    def shown(self, text: str) -> str:
         text = text.replace(BLANK, " ")
         return text[1:] if text[:1] == " " else text
 
@@ -233,13 +243,14 @@ def encode(text: Column, name: str = "piece_bpe_32k.model") -> Column:
     @pandas_udf(ENCODED)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = pieces(name)
-        rare = {i for i, k in enumerate(model.kind) if k == BYTE}
         for texts in batches:
             rows = []
             for part in parts([t or "" for t in texts]):
                 for t in part:
                     ids = model.encode(t)
-                    rows.append((np.array(ids, np.int32), len(ids), sum(map(rare.__contains__, ids)), model.decode(ids) == t))
+                    array = np.array(ids, np.int32)
+                    plain = bool(model.plain_ids[array].all())
+                    rows.append((array, len(ids), 0 if plain else int(model.byte_ids[array].sum()), (model.decode_plain(ids) if plain else model.decode(ids)) == t))
             yield pd.DataFrame(rows, columns=["ids", "n_tokens", "n_byte_tokens", "round_trip"])
 
     return run(text)
