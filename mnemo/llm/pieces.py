@@ -12,6 +12,7 @@ encoding reaches.
 
 from __future__ import annotations
 
+import array
 import functools
 import re
 from collections.abc import Callable, Iterator
@@ -21,16 +22,15 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 from sentencepiece import sentencepiece_model_pb2 as proto
 
-from mnemo.llm.tokens import parts
-
 BLANK = "▁"
 #: Encoded chunks and judged pairs kept by a worker; it starts anew beyond. Results never depend on it.
-CACHE = 300_000
+CACHE = 200_000
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
 
@@ -240,18 +240,24 @@ def encode(text: Column, name: str = "piece_bpe_32k.model") -> Column:
     one kind that does not come back: it decodes to a blank, as in the library.
     """
 
-    @pandas_udf(ENCODED)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @arrow_udf(ENCODED)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = pieces(name)
         for texts in batches:
-            rows = []
-            for part in parts([t or "" for t in texts]):
-                for t in part:
-                    ids = model.encode(t)
-                    array = np.array(ids, np.int32)
-                    plain = bool(model.plain_ids[array].all())
-                    rows.append((array, len(ids), 0 if plain else int(model.byte_ids[array].sum()), (model.decode_plain(ids) if plain else model.decode(ids)) == t))
-            yield pd.DataFrame(rows, columns=["ids", "n_tokens", "n_byte_tokens", "round_trip"])
+            flat, ends, n_bytes, back = array.array("i"), [0], [], []
+            for value in texts:  # one Python string at a time
+                t = value.as_py() or ""
+                ids = model.encode(t)
+                ids_array = np.array(ids, np.int32)
+                plain = bool(model.plain_ids[ids_array].all())
+                flat.extend(ids)
+                ends.append(len(flat))
+                n_bytes.append(0 if plain else int(model.byte_ids[ids_array].sum()))
+                back.append((model.decode_plain(ids) if plain else model.decode(ids)) == t)
+            offsets = np.array(ends, np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)))
+            columns = [lists, pa.array(np.diff(offsets).astype(np.int64)), pa.array(n_bytes, pa.int64()), pa.array(back, pa.bool_())]
+            yield pa.StructArray.from_arrays(columns, ["ids", "n_tokens", "n_byte_tokens", "round_trip"])
 
     return run(text)
 
