@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed values.
+#: Fixed values (synonyms without the names of products).
 ENTITY_STOP = ("the", "and", "for", "that", "this", "with", "from", "have")
 SYNONYMS = {
     "verification": ("verify", "verified", "verification_score", "z3", "formal"),
@@ -16,7 +16,7 @@ SYNONYMS = {
     "product": ("product", "protocol", "platform", "service"),
     "reputation": ("reputation", "trust", "agent", "on-chain"),
     "document": ("document", "pdf", "ocr", "tool", "saas"),
-    "cfo": ("cfo", "finance", "accounting", "erp", "fintarx"),
+    "cfo": ("cfo", "finance", "accounting", "erp"),
     "benchmark": ("benchmark", "score", "evaluation", "longmemeval", "recall"),
 }
 ABBREVIATIONS = {"k8s": "kubernetes", "deploy": "deployment", "infra": "infrastructure", "db": "database", "svc": "service", "cfg": "configuration", "authn": "authentication", "authz": "authorization", "perf": "performance", "obs": "observability"}
