@@ -85,8 +85,8 @@ def link(fps: DataFrame, most: int = 4) -> DataFrame:
     alike = Window.partitionBy("key")
     keyed = keyed.withColumns({"size": F.count("*").over(alike), "least": F.min("fp").over(alike), "top": F.max(F.struct("n", "fp")).over(alike)["fp"]})
     keyed = durable(keyed.where("size > 1").select("key", "fp", "size", "least", "top"))
-    ends = F.explode(F.array_distinct(F.array("least", "top"))).alias("v")
-    first = keyed.select(F.col("fp").alias("u"), ends).where((F.col("u") != F.col("v")) & near(F.col("u"), F.col("v"), most))
+    held_to = lambda end: keyed.select(F.col("fp").alias("u"), F.col(end).alias("v")).where((F.col("u") != F.col("v")) & near(F.col("u"), F.col("v"), most))
+    first = held_to("least").unionByName(held_to("top"))
     stars = durable(connected_components(first))
 
     rest = keyed.where("size > 2").select("key", "fp", "least")
