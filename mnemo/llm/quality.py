@@ -120,6 +120,8 @@ def judge(docs: DataFrame, text: str = "text", most_lost: float = 0.3, span: int
 
 def keep_documents(docs: DataFrame) -> DataFrame:
     """The kept documents with their cleaned text, in the columns of ``docs``."""
-    out = judge(docs).where("kept")
+    out = judge(docs)
+    # the verdict passes through a generator, so that the optimizer doesn't put its whole derivation into the filter
+    out = out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("clean_text", "kept")], F.inline(F.array(F.struct("clean_text", "kept")))).where("kept")
     new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     return out.select(*[new[c].alias(c) if new.get(c) is not None else F.col(f"`{c}`") for c in docs.columns])
