@@ -123,14 +123,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", most: int = 4) -> DataF
 
 
 def one_of_each(docs: DataFrame, text: str = "text", most: int = 4) -> DataFrame:
-    """The rows of ``docs`` but for near-duplicates: of each component the one with the smallest doc_id stays.
+    """The rows of ``docs`` but for near-duplicates: of each component the one with the smallest doc_id stays."""
+    return first_of_each(docs, near_duplicates(docs, text, most), "component_id", text)
+
+
+def first_of_each(docs: DataFrame, marked: DataFrame, by: str, text: str = "text") -> DataFrame:
+    """Of each group ``by`` of ``marked`` (doc_id, text_hash, by) the row of ``docs`` with the smallest doc_id.
 
     The survivors' ids are found without texts; the texts are then joined on
     doc_id, which no group of copies makes uneven.
     """
-    marked = near_duplicates(docs, text, most)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
-    kept = marked.groupBy("component_id").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
+    kept = marked.groupBy(by).agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
     hashed = docs.withColumn("_hash2", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     found = hashed.join(kept, hashed["doc_id"].eqNullSafe(kept["_id"]) & (hashed["_hash2"] == kept["_hash"]))
     # rows that agree in both are one document more than once

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mnemo.llm import repeats, simhash
+import corpus_pipeline
+from mnemo.llm import repeats, shingles, simhash
 
 
 def components(fps, most=4):
@@ -71,6 +72,59 @@ def test_one_of_each_group_stays(spark, odd, words):
     assert simhash.near_duplicates(odd).count() == 9 and simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def similar(texts, least):
+    """Pairs and components of all pairs of texts, by sets of the windows themselves."""
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    parent, pairs = list(range(len(texts))), []
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= least * len(a | sets[j]) - 1e-9:
+                pairs.append((j, i))
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return pairs, [find(i) for i in range(len(texts))]
+
+
+def test_pipeline_near_copies_are_those_of_all_pairs(spark, words):
+    """Recall and precision against brute force around similarity 0.8; 4 of 64 bits miss most of these."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(25):
+        base = words(rng.randint(30, 250)).split()
+        texts.append(" ".join(base))
+        for _ in range(8):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 30))):
+                w[rng.randrange(len(w))] = f"new{rng.randint(0, 10**6)}"
+            texts.append(" ".join(w))
+    texts += [texts[0], texts[0].upper(), None, "", "  ", "one", "One", "two words", *[words(100) for _ in range(20)]]
+    pairs, want = similar(texts, 0.8)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    far = [(simhash.simhash(texts[i]), simhash.simhash(texts[j])) for i, j in pairs if texts[i] and texts[j]]
+    assert sum(((a ^ b) & (2**64 - 1)).bit_count() > 4 for a, b in far) > 20
+    groups = {}
+    for r in shingles.near_duplicates(df).collect():
+        groups.setdefault(r.component, set()).add(r.doc_id)
+    expected = {}
+    for i, c in enumerate(want):
+        expected.setdefault(c, set()).add(i)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == sorted(expected)
+
+
+def test_pipeline_near_copies_of_odd_rows(spark, odd):
+    assert shingles.near_duplicates(odd).count() == 9 and shingles.near_duplicates(odd.limit(0)).count() == 0
+    out = shingles.one_of_each(odd)
+    assert out.columns == odd.columns and sorted(str(r.doc_id) for r in out.collect()) == ["1", "4", "5", "6", "7", "None"]
+
+
 def brute(texts, length=200):
     data = [(t or "").encode() for t in texts]
     seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
