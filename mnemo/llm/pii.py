@@ -6,7 +6,8 @@ and the normalised entity, so an entity has one surrogate wherever it occurs,
 in any format.  It keeps kind, format, script and, for names, gender.  A check
 over all distinct entities finds surrogates that two of them would share, or
 that equal another entity; those entities get further attempts until none
-is left.
+is left.  Numbers of a kind and length that fill a quarter of their space or
+more are exchanged by a keyed permutation of that space instead.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _NAME = r"\p{Lu}\p{L}*\p{Ll}(?:-\p{Lu}\p{Ll}+)?"
 _TITLE = "|".join(TITLES.values())
 _GIVEN = "|".join(n for names in GIVEN.values() for n in names)
+_GAP = r"[ .()-]{0,3}\d"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 ENTITY = "|".join(
     [
@@ -40,7 +42,8 @@ ENTITY = "|".join(
         r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
         r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
         r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)",
-        r"\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d)",
+        # seven digits at least: ahead for speed, behind for what is matched in the end
+        r"\+(?=\d(?:[ .()-]{0,3}\d){6})\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d)" + rf"(?<=\d{_GAP * 6}\)?)",
         r"(?<![\d.(-])\(?\d{3}\)?[ .-]\d{3}[.-]\d{4}(?![\d-])",
         rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}(?: {_NAME})?",
         rf"(?<!\p{{L}})(?:{_GIVEN}) {_NAME}",
@@ -123,6 +126,28 @@ def card_number(nd: Column, hexed: Column) -> Column:
     return F.concat(body, ((10 - total % 10) % 10).cast("string"))
 
 
+def permuted(value: Column, kind: Column, key: str, rounds: int = 6) -> Column:
+    """Another number of as many digits, by a keyed permutation of all of them that leaves none in its place.
+
+    Feistel rounds over both halves, one step forward, and the rounds back.
+    """
+    n = F.length(value)
+    half = F.floor(n / 2).cast("int")
+    a, b = F.rpad(F.lit("1"), half + 1, F.lit("0")).cast("long"), F.rpad(F.lit("1"), n - half + 1, F.lit("0")).cast("long")
+    start = F.struct(F.substr(value, F.lit(1), half).cast("long").alias("l"), F.substr(value, half + 1, n - half).cast("long").alias("r"))
+
+    def step(s: Column, i: Column) -> Column:
+        nth, sign = F.least(i, 2 * rounds - i), F.when(i < rounds, 1).otherwise(-1)
+        left = nth % 2 == 0
+        noise = number(pseudo(key, kind, F.concat_ws(":", n, nth, F.when(left, s["r"]).otherwise(s["l"])), F.lit(-1)), 1, 12)
+        turned = F.struct(F.when(left, F.pmod(s["l"] + sign * noise, a)).otherwise(s["l"]).alias("l"), F.when(left, s["r"]).otherwise(F.pmod(s["r"] + sign * noise, b)).alias("r"))
+        onward = F.struct(F.when(s["r"] + 1 < b, s["l"]).otherwise(F.pmod(s["l"] + 1, a)).alias("l"), F.pmod(s["r"] + 1, b).alias("r"))
+        return F.when(i == rounds, onward).otherwise(turned)
+
+    join = lambda s: F.concat(F.lpad(s["l"].cast("string"), half, F.lit("0")), F.lpad(s["r"].cast("string"), n - half, F.lit("0")))
+    return F.aggregate(F.array(*map(F.lit, range(2 * rounds + 1))), start, step, join)
+
+
 def name_like(e: Column, key: str, attempt: Column) -> Column:
     """Another name under the same title; given names keep gender, all names their script."""
     name = untitled(e)
@@ -138,29 +163,38 @@ def name_like(e: Column, key: str, attempt: Column) -> Column:
     def of(script: str) -> Column:
         pick = lambda names: F.get(F.array(*map(F.lit, names)), (number(h, 1) % len(names)).cast("int"))
         new_given = F.when(gender == "m", pick(GIVEN[script, "m"])).otherwise(pick(GIVEN[script, "f"]))
-        parts = [F.get(F.array(*map(F.lit, SYLLABLES[script])), (number(f, 1 + 7 * k) % len(SYLLABLES[script])).cast("int")) for k in range(4)]
-        return F.concat_ws(" ", F.when(given.isNotNull(), new_given), F.initcap(F.concat(*parts)))
+        parts = [F.get(F.array(*map(F.lit, SYLLABLES[script])), (number(f, 1 + 7 * k) % len(SYLLABLES[script])).cast("int")) for k in range(7)]
+        family = F.concat(*parts[:4], F.when(attempt > 16, F.concat(*parts[4:])).otherwise(""))
+        return F.concat_ws(" ", F.when(given.isNotNull(), new_given), F.initcap(family))
 
     return F.concat(title, F.when(name.rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin")))
 
 
 def surrogate(e: Column, attempt: Column, key: str) -> Column:
-    """The replacement of an entity, in its format."""
+    """The replacement of an entity, in its format.
+
+    Where the format leaves the length open, later attempts get longer, so
+    there is always room.  An attempt of -1 asks for ``permuted``.
+    """
     kind = kind_of(e)
     h = pseudo(key, kind, normal_form(e, kind), attempt)
     nd = digits(e)
     local, domain = F.substring_index(e, "@", 1), F.lower(F.substring_index(e, "@", -1))
     octets = F.concat_ws(".", (240 + number(h, 1) % 16).cast("string"), *[(number(h, k) % 256).cast("string") for k in (8, 15, 22)])
     country = F.greatest(F.length(nd) - 10, F.lit(0))
+    # bound to a variable, as the permutation names it often
+    bound = F.get(F.transform(F.array(F.struct(normal_form(e, kind).alias("v"), kind.alias("k"))), lambda x: permuted(x["v"], x["k"], key)), 0)
+    longer = F.left(as_digits(h), F.greatest(attempt - 8, F.lit(0)))
+    new = F.when(attempt < 0, bound).otherwise(F.substr(as_digits(h), F.lit(1), F.length(nd) - F.when(kind == "phone", country).otherwise(0)))
     return (
-        F.when(kind == "email", F.concat(shaped(local, pseudo(key, kind, F.lower(e), attempt)), F.lit("@d"), F.left(pseudo(key, "domain", domain, F.lit(0)), F.lit(8)), F.lit(".example")))
+        F.when(kind == "email", F.concat(shaped(local, pseudo(key, kind, F.lower(e), attempt)), longer, F.lit("@d"), F.left(pseudo(key, "domain", domain, F.lit(0)), F.lit(8)), F.lit(".example")))
         .when(kind == "ip", octets)
         .when(kind == "hex", F.when(e.rlike("[A-F]"), F.upper(F.substr(F.repeat(h, F.lit(2)), F.lit(1), F.length(e)))).otherwise(F.substr(F.repeat(h, F.lit(2)), F.lit(1), F.length(e))))
-        .when(kind == "key", shaped(e, h, 4))
+        .when(kind == "key", F.concat(shaped(e, h, 4), longer))
         .when(kind == "iban", shaped(e, pseudo(key, kind, normal_form(e, kind), attempt), 2))
         .when(kind == "card", with_digits(e, card_number(nd, h)))
-        .when(kind == "phone", with_digits(e, F.concat(F.substr(nd, F.lit(1), country), F.substr(as_digits(h), F.lit(1), F.length(nd) - country))))
-        .when(kind == "ssn", with_digits(e, F.substr(as_digits(h), F.lit(1), F.length(nd))))
+        .when(kind == "phone", with_digits(e, F.concat(F.substr(nd, F.lit(1), country), new)))
+        .when(kind == "ssn", with_digits(e, new))
         .otherwise(name_like(e, key, attempt))
     )
 
@@ -176,9 +210,16 @@ def later_attempts(found: DataFrame, key: str, most: int = 40) -> DataFrame:
 
     ``found`` has every distinct (kind, value, e), ``e`` one spelling.  Of those
     that share a surrogate the first by value keeps it; the others, and those
-    whose surrogate is itself an entity, try again.
+    whose surrogate is itself an entity, try again.  Where numbers fill a
+    quarter of their space all of its numbers have attempt -1; elsewhere at
+    most half of the space is taken, so every attempt succeeds at least every
+    second time.
     """
-    held = durable(found.withColumn("attempt", F.lit(0)))
+    counted = F.count("*").over(Window.partitionBy("kind", F.length("value")))
+    full = F.col("kind").isin("phone", "ssn") & (counted * 4 > F.pow(F.lit(10.0), F.length("value")))
+    held = durable(found.withColumn("attempt", F.when(full, -1).otherwise(0)))
+    dense = held.where("attempt < 0").select("kind", "value", "attempt")
+    held = held.where("attempt = 0")
     for _ in range(most):
         made = held.withColumn("new", surrogate(F.col("e"), F.col("attempt"), key))
         made = made.withColumn("new", normal_form(F.col("new"), F.col("kind")))
@@ -187,7 +228,7 @@ def later_attempts(found: DataFrame, key: str, most: int = 40) -> DataFrame:
         nth = F.row_number().over(Window.partitionBy("kind", "new").orderBy(F.col("attempt") > 0, "value"))
         made = durable(made.withColumn("again", F.col("real").isNotNull() | (nth > 1)).drop("new", "real"))
         if made.where("again").isEmpty():
-            return made.where("attempt > 0").select("kind", "value", "attempt")
+            return made.where("attempt > 0").select("kind", "value", "attempt").unionByName(dense)
         held = made.withColumn("attempt", F.col("attempt") + F.col("again").cast("int")).drop("again")
     raise RuntimeError("some entities found no surrogate of their own")
 

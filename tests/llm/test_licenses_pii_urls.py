@@ -79,6 +79,26 @@ def test_distinct_entities_stay_distinct(spark, monkeypatch):
     assert results[0] == results[1]
 
 
+def test_numbers_that_fill_their_space(spark):
+    """No random attempt can end where more than half of all numbers occur; a permutation of them does."""
+    rows = [("phone", f"{i:03d}", f"+{i:03d}") for i in range(1000)] + [("ssn", f"{i:09d}", f"{i:03d}-00-0000") for i in range(20)]
+    found = spark.createDataFrame(rows, "kind string, value string, e string")
+    later = pii.later_attempts(found, "k").where("kind = 'phone'").collect()
+    assert len(later) == 1000 and {r.attempt for r in later} == {-1}
+    new = [(r.e, r.new) for r in found.where("kind = 'phone'").select("e", pii.surrogate(F.col("e"), F.lit(-1), "k").alias("new")).collect()]
+    assert {e for e, _ in new} == {n for _, n in new} and all(e != n for e, n in new)
+
+
+def test_short_numbers_are_no_telephones_and_small_spaces_grow(spark):
+    clean = "+100 points, +123, +12 34, +1 2 3 4 5 6 and (+1234)."
+    mails = " ".join(f"{c}@mail.com" for c in "abcdefghijklmnopqrstuvwxyz") + " sk-" + "-" * 20
+    df = spark.createDataFrame([(1, clean), (2, "+49 30 1234567, +1234567."), (3, mails)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.replace_entities(df).collect()}
+    assert (got[1].text, got[1].n_entities) == (clean, 0) and got[2].n_entities == 2 and "1234567" not in got[2].text
+    new = got[3].text.split()
+    assert got[3].n_entities == 27 and len(set(new)) == 27 and not set(new) & set(mails.split())
+
+
 def test_rules_hosts_and_paths(spark):
     cases = {
         "http://A.Example.com/en/x?q#f": ("a.example.com", "/en/x", "example.com/en/", "block"),
