@@ -25,6 +25,25 @@ _IS_WORD = np.array([not (c <= 0x2F or 0x3A <= c <= 0x60 or 0x7B <= c <= 0x7F) f
 #: Phrases of the base rule and their labels (fixed values).
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
+GPL_END = (
+    " <<any 6>> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose "
+    "see the gnu general public license for more details you should have received a copy of the gnu general public license along with <<any 6>> "
+    "if not <<optional>>see http www gnu org licenses<</optional>> <<optional>>see https www gnu org licenses<</optional>> "
+    "<<optional>>write to the free software foundation inc <<any 12>> usa<</optional>>"
+)
+BSD_START = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "<<optional>>1<</optional>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "<<optional>>2<</optional>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
+    "in the documentation and or other materials provided with the distribution "
+)
+BSD_END = (
+    "this software is provided by <<any 12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability "
+    "and fitness for a particular purpose are disclaimed in no event shall <<any 12>> be liable for any direct indirect incidental special exemplary or consequential damages "
+    "including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability "
+    "whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+
 #: label, rare word that every match has, wording (public license texts and notices; fixed values).
 TEMPLATES = (
     ("mit", "license", "<<optional>>this <<any 2>> is<</optional>> <<optional>>released<</optional>> <<optional>>licensed<</optional>> under the <<optional>>terms of the<</optional>> mit license"),
@@ -42,29 +61,39 @@ TEMPLATES = (
         "software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
         "see the license for the specific language governing permissions and limitations under the license",
     ),
+    (
+        "gpl-2.0-or-later", "redistribute",
+        "<<any 6>> is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by "
+        "the free software foundation either version 2 of the license or <<optional>>at your option<</optional>> any later version" + GPL_END,
+    ),
     (
         "gpl-3.0-or-later", "redistribute",
         "<<any 6>> is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by "
-        "the free software foundation either version 3 of the license or <<optional>>at your option<</optional>> any later version",
+        "the free software foundation either version 3 of the license or <<optional>>at your option<</optional>> any later version" + GPL_END,
     ),
     (
         "mit", "sublicense",
         "permission is hereby granted free of charge to any person obtaining a copy of this <<any 4>> and associated documentation files "
         "the <<any 2>> to deal in the <<any 2>> without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell "
         "copies of the <<any 2>> and to permit persons to whom the <<any 2>> is furnished to do so subject to the following conditions "
-        "the above copyright notice and this permission notice <<optional>>including the next paragraph<</optional>> shall be included in all copies or substantial portions of the <<any 2>>",
+        "the above copyright notice and this permission notice <<optional>>including the next paragraph<</optional>> shall be included in all copies or substantial portions of the <<any 2>> "
+        "the <<any 2>> is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+        "fitness for a particular purpose and noninfringement in no event shall <<any 12>> be liable for any claim damages or other liability "
+        "whether in an action of contract tort or otherwise arising from out of or in connection with the <<any 2>> or the use or other dealings in the <<any 2>>",
     ),
     (
         "isc", "permission",
         "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that "
-        "the above copyright notice and this permission notice appear in all copies",
+        "the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and <<any 12>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+        "in no event shall <<any 12>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+        "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
     ),
+    ("bsd-2-clause", "redistributions", BSD_START + BSD_END),
     (
-        "bsd-2-clause", "redistributions",
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
-        "<<optional>>1<</optional>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
-        "<<optional>>2<</optional>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
-        "in the documentation and or other materials provided with the distribution",
+        "bsd-3-clause", "redistributions",
+        BSD_START + "<<optional>>3<</optional>> neither the name of <<any 12>> nor the names of <<any 6>> contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission " + BSD_END,
     ),
 )
 
