@@ -5,8 +5,10 @@ holds a third of all rows is just a source with more blocks.  The words wanted
 of a source become an exact number of block draws, in passes over its permuted
 blocks.  A multivariate-hypergeometric splitting tree divides the draws among
 output shards: every node halves its slots and draws how many of each source go
-left, so shard quotas add up exactly at every level.  Shards take disjoint runs
-of each source's permuted draws, and are shuffled by themselves.
+left, so shard quotas add up exactly at every level.  Each shard draws as many
+blocks of a source as its quota says, a run of the source's permuted draws that
+no other shard has; what the mix takes of a document is what the shards drew of
+it.  Shards are shuffled by themselves.
 """
 
 from __future__ import annotations
@@ -22,6 +24,10 @@ from mnemo.sources.durable import durable
 
 #: Source tables of up to so many rows are broadcast (about 100 bytes each); larger ones are joined by shuffle.
 SMALL_ROWS = 50_000
+#: Rows of one group that a task puts in order, on average.
+RANGE_ROWS = 10_000
+#: Levels of the tree between two distributions of its nodes over tasks.
+SPREAD = 6
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -111,15 +117,20 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
 
 
 def shard_quotas(draws: DataFrame, shards: int, seed: int) -> DataFrame:
-    """(s, shard, q): how many of each source's draws every shard gets.
+    """(s, shard, first, q): how many of each source's draws every shard gets, and where its run of them begins.
 
-    ``draws`` has a row (s, q) per source; ``shards`` is a power of two.  Each
-    level is a projection of the rows above it, so the tree needs no shuffle.
+    ``draws`` has a row (s, q) per source; ``shards`` is a power of two.  A
+    node is a row with the quota of each source and begins as the root alone;
+    every few levels the nodes are dealt out, so that subtrees are tasks of
+    their own.  A node's row grows with the number of sources only.
     """
-    node = draws.where("q > 0").groupBy().agg(F.sort_array(F.collect_list(F.struct("s", F.col("q").cast("long").alias("q")))).alias("quota"))
-    node = node.select(F.lit(0).cast("long").alias("shard"), "quota")
+    long = F.lit(0).cast("long")
+    quota = F.sort_array(F.collect_list(F.struct("s", long.alias("first"), F.col("q").cast("long").alias("q"))))
+    node = draws.where("q > 0").groupBy().agg(quota.alias("quota")).select(long.alias("shard"), "quota")
     for level in range(int(math.log2(shards))):
-        total = F.aggregate("quota", F.lit(0).cast("long"), lambda n, x: n + x["q"])
+        if level and level % SPREAD == 0:
+            node = node.repartition(min(1 << level, 1 << 2 * SPREAD), "shard")
+        total = F.aggregate("quota", long, lambda n, x: n + x["q"])
         start = F.struct(F.col("total").alias("pop"), F.floor(F.col("total") / 2).cast("long").alias("slots"), F.array().cast("array<bigint>").alias("left"))
 
         def step(acc: Column, x: Column) -> Column:
@@ -130,55 +141,74 @@ def shard_quotas(draws: DataFrame, shards: int, seed: int) -> DataFrame:
             )
 
         node = node.withColumn("total", total).withColumn("left", F.aggregate("quota", start, step, lambda acc: acc["left"]))
-        part = lambda keep: F.zip_with("quota", "left", lambda x, n: F.struct(x["s"].alias("s"), keep(x["q"], n).alias("q")))
+        part = lambda first, q: F.zip_with("quota", "left", lambda x, n: F.struct(x["s"].alias("s"), first(x, n).alias("first"), q(x, n).alias("q")))
         halves = F.array(
-            F.struct((F.col("shard") * 2).alias("shard"), part(lambda q, n: n).alias("quota")),
-            F.struct((F.col("shard") * 2 + 1).alias("shard"), part(lambda q, n: q - n).alias("quota")),
+            F.struct((F.col("shard") * 2).alias("shard"), part(lambda x, n: x["first"], lambda x, n: n).alias("quota")),
+            F.struct((F.col("shard") * 2 + 1).alias("shard"), part(lambda x, n: x["first"] + n, lambda x, n: x["q"] - n).alias("quota")),
         )
         node = node.select(F.inline(halves))
     return node.select("shard", F.inline("quota")).where("q > 0")
 
 
+def in_order(rows: DataFrame, by: list[str], key: Column, value: str, n_rows: int) -> DataFrame:
+    """``rows`` with ``r``, their number in order of the hash ``key`` within ``by``, and ``before``, the sum of ``value`` over those ahead.
+
+    The hash's range is cut into parts of about ``RANGE_ROWS`` rows; parts are
+    added up first, and rows only sorted inside a part, so that no group is
+    one task.
+    """
+    bits = max(0, math.ceil(math.log2(max(1, n_rows / RANGE_ROWS))))
+    rows = rows.withColumn("_key", F.shiftrightunsigned(key, 2))
+    rows = rows.withColumn("_part", F.shiftright("_key", 62 - bits))
+    ahead = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(*by, "_part").agg(F.count("*").alias("n"), F.sum(value).alias("v"))
+    parts = parts.select(*by, "_part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_n"), F.coalesce(F.sum("v").over(ahead), F.lit(0)).alias("_v"))
+    inside = Window.partitionBy(*by, "_part").orderBy("_key", "pass", "_block")
+    out = rows.join(parts, [*by, "_part"])
+    upto = F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return out.withColumns({"r": F.col("_n") + F.row_number().over(inside) - 1, "before": F.col("_v") + upto - F.col(value)}).drop("_key", "_part", "_n", "_v")
+
+
 def mix(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, share: float = 1.0, seed: int = 17, block_docs: int = 500, shard_blocks: int = 16, targets: DataFrame | None = None) -> DataFrame:
     """Every row of ``sized`` (doc_id, source, size, ...) with what the mix takes of it.
 
     Adds ``source_size``, ``target``, ``taken`` (words, repeats counted) and
-    ``draws``: an array of (pass, shard, words, at), one entry for each pass
-    that takes the document.  A source's ``taken`` sum to its target rounded
-    to whole words: its last block is cut at a document, and that document at a
-    word.  Null sources form one source; rows of size 0 are drawn without
-    words; equal rows are interchangeable; an empty table gives an empty one.
+    ``draws``: an array of (pass, shard, words, at), one entry for each shard's
+    draw of the document.  A source's ``taken`` sum to its target rounded to
+    whole words: the last block of its quota is cut at a document, and that
+    document at a word.  Null sources form one source; rows of size 0 are in no
+    draw; equal rows are interchangeable; an empty table gives an empty one.
     Added columns replace columns of the same names.
     """
-    spark = sized.sparkSession
     sized = sized.drop("source_size", "target", "taken", "draws", "s", "n_docs")
     sources = durable(targets if targets is not None else source_targets(sized, weights, most, share))
     n_sources, n_docs = sources.agg(F.count("*"), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
     small = F.broadcast(sources) if n_sources <= SMALL_ROWS else sources
-    key = F.xxhash64(F.lit(seed), "doc_id", "size")
     blocks = F.greatest(F.ceil(F.col("n_docs") / block_docs), F.lit(1))
     right = small.withColumnRenamed("source", "_source")
     docs = sized.join(right, sized["source"].eqNullSafe(right["_source"]), "left").drop("_source")
-    docs = docs.withColumn("_key", key).withColumn("_block", F.pmod(F.col("_key"), blocks))
+    docs = docs.withColumn("_key", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("_block", F.pmod(F.col("_key"), blocks))
 
+    # quotas: a source's draws, as many of its permuted blocks, pass by pass, as its target needs
+    n_blocks = n_docs // block_docs + n_sources
     sums = docs.groupBy("s", "_block").agg(F.sum("size").alias("block_size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
-    sums = sums.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
-    order = Window.partitionBy("s", "pass").orderBy(F.xxhash64(F.lit(seed), "s", "pass", "_block"), "_block")
-    before = F.sum("block_size").over(order) - F.col("block_size") + F.col("pass") * F.col("source_size")
-    wanted = F.least(F.col("block_size"), F.greatest(F.lit(0), F.round("target").cast("long") - before))
-    drawn = sums.withColumn("words", wanted).where("words > 0")
-    drawn = drawn.withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy(F.xxhash64(F.lit(seed + 1), "s", "pass", "_block"), "pass", "_block")) - 1)
-    drawn = durable(drawn.select("s", "_block", "pass", "words", "block_size", "r"))
+    sums = durable(sums.where("block_size > 0"))
+    wanted = sums.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
+    wanted = in_order(wanted, ["s", "pass"], F.xxhash64(F.lit(seed), "s", "pass", "_block"), "block_size", n_blocks)
+    left = F.round("target").cast("long") - F.col("before") - F.col("pass") * F.col("source_size")
+    wanted = durable(wanted.withColumn("words", F.least(F.col("block_size"), left)).where("words > 0").select("s", "_block", "pass", "words", "block_size"))
 
+    # the tree divides them among shards, and each shard draws its run
     shards = 1 << max(0, math.ceil(math.log2(max(1, n_docs / block_docs / shard_blocks))))
-    quotas = shard_quotas(drawn.groupBy("s").agg(F.count("*").alias("q")), shards, seed)
-    first = F.sum("q").over(Window.partitionBy("s").orderBy("shard")) - F.col("q")
-    slots = quotas.withColumn("first", first).select("s", "shard", F.explode(F.sequence("first", F.col("first") + F.col("q") - 1)).alias("r"))
-    placed = drawn.join(slots, ["s", "r"], "left").groupBy("s", "_block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard", "words", "block_size"))).alias("_draws"))
+    quotas = shard_quotas(wanted.groupBy("s").agg(F.count("*").alias("q")), shards, seed)
+    turns = quotas.select("s", "shard", F.explode(F.sequence("first", F.col("first") + F.col("q") - 1)).alias("r"))
+    permuted = in_order(wanted, ["s"], F.xxhash64(F.lit(seed + 1), "s", "pass", "_block"), "words", n_blocks * most)
+    drawn = turns.join(permuted, ["s", "r"])
+    drawn = drawn.groupBy("s", "_block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard", "words", "block_size"))).alias("_draws"))
 
     inside = Window.partitionBy("s", "_block").orderBy("_key", "doc_id", "size")
     docs = docs.withColumn("_before", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    docs = docs.join(placed, ["s", "_block"], "left")
+    docs = docs.join(drawn, ["s", "_block"], "left")
     each = lambda d: F.when(d["words"] == d["block_size"], F.col("size")).otherwise(F.least(F.col("size"), F.greatest(F.lit(0), d["words"] - F.col("_before"))))
     draws = F.transform("_draws", lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), each(d).cast("long").alias("words"), F.xxhash64(F.lit(seed), d["pass"], d["shard"], F.col("_key")).alias("at")))
     draws = F.filter(draws, lambda d: (d["words"] > 0))
@@ -201,7 +231,10 @@ def first_words(text: Column, n: Column) -> Column:
 def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
     """The mix itself: the drawn documents, repeats included, shard by shard and shuffled in each shard.
 
-    A document that the mix cuts ends with its last taken word.
+    A document that the mix cuts ends with its last taken word.  Null and blank
+    texts are in no draw and don't come back; a document drawn more than once
+    comes back as often.  Columns named like those of ``mix`` are kept as they
+    are, and an empty table gives an empty one.
     """
     rest = [c for c in docs.columns if c not in ("doc_id", "source")]
     out = mix(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.struct(*rest).alias("_rest")), **options)

@@ -78,6 +78,23 @@ def test_mix_meets_targets(spark):
     assert len(shards) > 8
 
 
+def test_what_is_taken_is_what_the_shards_draw(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "ab"[i % 7 == 0], 1 + i * 7 % 50) for i in range(2000)], "doc_id long, source string, size long")
+    run = lambda: sorted((r.doc_id, r.taken, tuple(d.shard for d in r.draws)) for r in mixing.mix(df, block_docs=20, shard_blocks=4).collect())
+    want, tree = run(), mixing.shard_quotas
+    monkeypatch.setattr(mixing, "shard_quotas", lambda draws, shards, seed: draws.select("s", F.lit(0).alias("shard"), F.lit(0).alias("first"), "q"))
+    flat = run()
+    assert [x[:2] for x in flat] == [x[:2] for x in want] and flat != want
+    # shards that draw nothing take nothing
+    monkeypatch.setattr(mixing, "shard_quotas", lambda *a: tree(*a).where("shard % 2 = 0"))
+    half = run()
+    assert {s for x in half for s in x[2]} == {s for x in want for s in x[2] if s % 2 == 0} and sum(x[1] for x in half) < 0.7 * sum(x[1] for x in want)
+    # runs of a shard in order are those of parts put in order
+    monkeypatch.setattr(mixing, "shard_quotas", tree)
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 5)
+    assert run() == want
+
+
 def test_quotas_are_exact_at_every_level(spark):
     q = spark.createDataFrame([(i, 50 + 13 * i) for i in range(1, 9)] + [(9, 1)], "s int, q long")
     rows = mixing.shard_quotas(q, 16, 5).collect()
@@ -85,6 +102,11 @@ def test_quotas_are_exact_at_every_level(spark):
     for r in rows:
         total[r.s] += r.q
     assert total == {r.s: r.q for r in q.collect()}
+    ends = {}
+    for r in sorted(rows, key=lambda r: (r.s, r.shard)):
+        assert r.first == ends.get(r.s, 0)
+        ends[r.s] = r.first + r.q
+    assert sorted((r.s, r.shard, r.q) for r in mixing.shard_quotas(q, 1024, 5).collect())
     sizes = Counter()
     for r in rows:
         sizes[r.shard] += r.q
@@ -106,7 +128,9 @@ def test_mixed_documents_and_odd_rows(spark, odd):
     docs = odd.selectExpr("doc_id", "text", "'en' AS lang", "source", "length(text) AS n_chars")
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns and sum(len(W.findall(r.text or "")) for r in out.collect()) > 0
-    assert mixing.mix(mixing.sized_documents(odd, "extra")).count() == 9
+    sized = mixing.mix(mixing.sized_documents(odd, "extra", "n_words"), block_docs=1).collect()
+    assert len(sized) == 9 and {r.extra for r in sized} == {"x"} and sum(r.taken for r in sized) == sum(r["size"] for r in sized) == sum(len(W.findall(r.text or "")) for r in odd.collect())
+    assert {r["size"] for r in sized if not r.draws} >= {0} and all(r.taken == sum(d.words for d in r.draws) for r in sized)
     assert mixing.mix(mixing.sized_documents(odd.limit(0))).count() == 0
     t = spark.createDataFrame([("  a b\n c  d ", 3), ("a", 1)], "t string, n int")
     assert [r[0] for r in t.select(mixing.first_words(F.col("t"), F.col("n"))).collect()] == ["  a b\n c", "a"]
