@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tables of up to so many rows may be broadcast whole (their rows are short).
+BROADCAST_ROWS = 300_000
+#: Keys with more rows than this are joined by broadcast, where there are few enough of them.
+HOT_ROWS = 1_000
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
@@ -27,3 +32,24 @@ def n_words(text: Column) -> Column:
 def unit_interval(*parts: Column) -> Column:
     """A number in [0, 1) that depends on ``parts`` only."""
     return (F.xxhash64(*parts).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))).cast("double")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out over all tasks, before rows are multiplied."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, most: int = BROADCAST_ROWS, hot: int = HOT_ROWS) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row for each ``key`` and in ``n`` how many of ``rows`` have it.
+
+    A small ``table`` is broadcast.  Of a larger one the hot keys are, which no
+    task then has to hold alone, and the others are joined by shuffle.  Keys
+    are not null and each is in ``table``.
+    """
+    if table.count() <= most:
+        return rows.join(F.broadcast(table.drop("n")), key)
+    while table.where(F.col("n") > hot).count() > most:
+        hot *= 8
+    often = F.broadcast(table.where(F.col("n") > hot).drop("n"))
+    seldom = table.where(F.col("n") <= hot).drop("n")
+    return rows.join(often, key).unionByName(rows.join(often.select(key), key, "left_anti").join(seldom, key))

@@ -11,7 +11,8 @@ from mnemo.llm.common import table
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = mixing.sized_documents(table(spark, sf_dir, "documents"))
-    return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken")
+    shards = F.array_join(F.transform("draws", lambda d: d["shard"].cast("string")), ",")
+    return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken", shards.alias("shards"))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
+import math
+import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from mnemo.llm import licenses, pii, urls
+from mnemo.llm import common, licenses, pii, urls
 from mnemo.llm.licenses import Automaton, scan
 
 
@@ -155,39 +158,77 @@ def test_rules_hosts_and_paths(spark):
     assert [(r.score, r.verdict) for r in urls.judge(one).collect()] == [(0.0, "allow")]
 
 
-def test_models_and_threshold_are_a_plain_computation(spark):
-    import math
-    from collections import Counter
-
-    seen = [("abab", True), ("abba", True), ("zzzz", False), ("zaza", False), ("ab", True)]
-    V, w = urls.V, 4.0
-    code = {c: i + 1 for i, c in enumerate(urls.ALPHABET)}
-    n = {k: {True: Counter(), False: Counter()} for k in range(3)}
+def log_ratio(url, seen, weight=4.0, least=2):
+    """The mean log ratio by walking through the URL with the longest known context at each character."""
+    n = {True: Counter(), False: Counter()}
+    marked = lambda u: urls.START + u + urls.END
     for u, y in seen:
-        s = [0, 0, *[code[c] for c in u]]
-        for i in range(2, len(s)):
-            for k in range(3):
-                n[k][y][tuple(s[i - k : i + 1])] += 1
-
-    def p(gram, y):
-        total = sum(n[0][y].values())
-        out = (n[0][y][gram[2:]] + 0.5) / (total + 0.5 * V)
-        for k in (1, 2):
-            g = gram[2 - k :]
-            context = sum(v for x, v in n[k][y].items() if x[:-1] == g[:-1])
-            out = (n[k][y][g] + w * out) / (context + w)
-        return out
-
-    df = spark.createDataFrame(seen, "u string, accepted boolean").select(urls.codes(F.col("u")).alias("codes"), "accepted")
-    table = {r.code: r.llr for r in urls.log_ratio(df).collect()}
-    assert len(table) == V**3
-    for gram in [(0, 0, code["a"]), (0, code["a"], code["b"]), (code["z"], code["z"], code["z"]), (code["q"], code["x"], code["a"])]:
-        want = math.log(p(gram, True)) - math.log(p(gram, False))
-        assert abs(table[(gram[0] * V + gram[1]) * V + gram[2]] - want) < 1e-9
+        s = marked(u)
+        for i in range(len(s)):
+            n[y].update(s[i : i + k] for k in range(1, urls.ORDER + 2) if i + k <= len(s))
+    kept = {g for g in n[True] | n[False] if len(g) == 1 or n[True][g] + n[False][g] >= least}
+    symbols = [g for g in kept if len(g) == 1 and g != urls.START]
+
+    def p(y, context, c):
+        if not context:
+            total = sum(n[y][g] for g in symbols)
+            return (n[y][c] + 0.5) / (total + 0.5 * len(symbols))
+        shorter = p(y, context[1:], c)
+        if context not in kept:
+            return shorter
+        total = sum(n[y][g] for g in kept if len(g) == len(context) + 1 and g.startswith(context))
+        return ((n[y][context + c] if context + c in kept else 0) + weight * shorter) / (total + weight)
+
+    s = marked(url)
+    total = 0.0
+    for i in range(1, len(s)):
+        if s[i] in symbols:
+            context = s[max(0, i - urls.ORDER) : i]
+            while context and context[-1] not in kept:
+                context = ""
+            total += math.log(p(True, context, s[i]) / p(False, context, s[i]))
+        elif s[i - 1] != s[i]:
+            # an unknown character says nothing by itself, but known contexts are left before it
+            for k in range(1, urls.ORDER + 1):
+                c = s[max(0, i - k) : i]
+                if len(c) == k and c in kept:
+                    y = [sum(n[b][g] for g in kept if len(g) == k + 1 and g.startswith(c)) for b in (True, False)]
+                    total += math.log((y[1] + weight) / (y[0] + weight))
+    return total / (len(s) - 1)
+
+
+def test_models_are_a_plain_computation(spark):
+    seen = [("abab", True), ("abba/é", True), ("zzzz", False), ("zaza/b", False), ("ab", True), ("abab/aé", False)]
+    values = urls.model(spark.createDataFrame(seen, "url string, accepted boolean"))
+    asked = ["abab", "zz", "abz/é", "bbbbbbbbb", "zazaba/b", "aqb", "é" * 7, "b" * 300]
+    got = {r.url: r.score for r in urls.scored(spark.createDataFrame([(u,) for u in asked], "url string"), values).collect()}
+    assert set(got) == set(asked)
+    for u in asked:
+        assert abs(got[u] - log_ratio(u, seen)) < 1e-8, u
+    rng = random.Random(3)
+    seen = [("".join(rng.choice("ab.c/") for _ in range(rng.randint(1, 30))), rng.random() < 0.5) for _ in range(60)]
+    values = urls.model(spark.createDataFrame(seen, "url string, accepted boolean"))
+    assert values.where(F.length("g") == urls.ORDER + 1).count() > 0
+    asked = ["".join(rng.choice("ab.c/") for _ in range(rng.randint(1, 30))) for _ in range(20)]
+    got = {r.url: r.score for r in urls.scored(spark.createDataFrame([(u,) for u in set(asked)], "url string"), values).collect()}
+    for u in asked:
+        assert abs(got[u] - log_ratio(u, seen)) < 1e-8, u
     scored = spark.createDataFrame([(0.5, True), (0.2, True), (-0.1, False), (0.1, False), (-0.4, True)], "score double, accepted boolean")
     assert abs(urls.threshold(scored).first()[0] - 0.155) < 0.011
 
 
+def test_urls_odd_rows_and_hot_ones(spark, monkeypatch):
+    rows = [(i, "http://hot.org/a") for i in range(50)] + [(100 + i, f"http://h{i}.com/x") for i in range(30)] + [(200 + i, f"http://h{i}.net/es/x") for i in range(30)]
+    rows += [(300, None), (300, None), (301, ""), (302, "http://long.org/" + "y" * 200_000), (None, "http://ü.org/Ä?x")]
+    df = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "1 AS host", "2 AS path", "3 AS score", "4 AS verdict", "'e' AS n", "'f' AS w")
+    want = sorted((str(r.page_id), r.url or "", r.host, r.verdict, r.score, r.n, r.w) for r in urls.judge(df).collect())
+    assert len(want) == len(rows) and {x[5:] for x in want} == {("e", "f")}
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    few = common.join_counted
+    monkeypatch.setattr(urls, "join_counted", lambda *a: few(*a, most=8, hot=10))
+    assert sorted((str(r.page_id), r.url or "", r.host, r.verdict, r.score, r.n, r.w) for r in urls.judge(df).collect()) == want
+
+
 def test_held_out_urls_are_told_apart(spark):
     rows = [(i, f"http://h{i % 40}.com/news/article/{i}") for i in range(600)] + [(1000 + i, f"http://h{i % 40}.net/es/casino-{i}-bonus") for i in range(600)]
     rows += [(3000 + i, f"http://k{i}.org/news/article/{i}") for i in range(50)] + [(4000 + i, f"http://k{i}.org/es/casino-{i}-bonus") for i in range(50)]
