@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemo.llm.common import n_words, unit_interval
+from mnemo.llm.common import let, n_words, unit_interval
 from mnemo.sources.durable import durable
 
 #: Source tables of up to so many rows are broadcast (about 100 bytes each); larger ones are joined by shuffle.
@@ -30,11 +30,6 @@ RANGE_ROWS = 10_000
 SPREAD = 6
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def hypergeometric(pop: Column, good: Column, slots: Column, u: Column) -> Column:
     """The draw at ``u`` in [0, 1): how many of ``good`` among ``pop`` land in ``slots``.
 

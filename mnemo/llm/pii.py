@@ -1,42 +1,57 @@
 """Personal data replaced by surrogates.
 
 Entities are found by one expression and replaced in the same projection; the
-text is never shuffled.  A surrogate is computed from a secret key, the kind
-and the normalised entity, so an entity has one surrogate wherever it occurs,
-in any format.  It keeps kind, format, script and, for names, gender.  A check
-over all distinct entities finds surrogates that two of them would share, or
-that equal another entity; those entities get further attempts until none
-is left.  Numbers of a kind and length that fill a quarter of their space or
-more are exchanged by a keyed permutation of that space instead.
+text is never shuffled.  What all spellings of an entity have in common is its
+value; a secret key, the kind and the value give the surrogate value, which is
+then spelled as the entity was.  So an entity has one surrogate wherever it
+occurs, in any format and under any title.  It keeps kind, format, script and,
+for names, gender.  A check over all distinct values finds surrogates that two
+of them would share, or that equal another entity; those get further attempts
+until none is left.  Numbers of a kind and length that fill a quarter of their
+space or more are exchanged by a keyed permutation of that space instead.
 """
 
 from __future__ import annotations
 
+import hmac
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemo.llm.common import let
 from mnemo.sources.durable import durable
 
-#: Titles by gender, and given names by script and gender (fixed values).
+#: Titles by gender, and given names by script and gender, "u" for those of either (fixed values).
 TITLES = {"m": "Mr|Herr|Señor|Sr|Monsieur|господин|г-н", "f": "Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|госпожа|г-жа", "u": "Dr|Prof"}
 GIVEN = {
-    ("latin", "m"): "James John Robert Michael William David Thomas Daniel Peter Paul Hans Karl Pierre Jean Carlos Juan".split(),
-    ("latin", "f"): "Mary Patricia Jennifer Linda Elizabeth Susan Sarah Anna Laura Julia Ingrid Petra Marie Claire Carmen Lucia".split(),
+    ("latin", "m"): "James John Robert Michael William David Thomas Daniel Peter Paul Hans Karl Pierre Jean Carlos Juan Ahmed Ali Omar Mohammed Hassan Raj Arjun Wei Hiroshi Luis Miguel José Antoine Stefan Klaus Jürgen Andreas".split(),
+    ("latin", "f"): "Mary Patricia Jennifer Linda Elizabeth Susan Sarah Anna Laura Julia Ingrid Petra Marie Claire Carmen Lucia Fatima Aisha Leila Priya Mei Yuki Sofia Isabel Ana Sophie Monika Sabine Ursula Emma Olivia Margaret Zoë".split(),
+    ("latin", "u"): "Alex Sam Robin Kim Jamie Jordan Taylor Morgan Casey Riley Quinn Avery Charlie Rowan Sasha Noor".split(),
     ("cyrillic", "m"): "Иван Сергей Алексей Дмитрий Николай Павел Михаил Андрей".split(),
     ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана".split(),
+    ("cyrillic", "u"): "Саша Женя Валя Слава Шура Паша".split(),
 }
 SYLLABLES = {"latin": "ba be bo da del do fa fen ga gor ha hel ka kel la lin lo ma mer mo na nor pa pel ra rin ro sa sel so ta tor va vel vo wen".split(), "cyrillic": "ба бе бо ва вел го да дер за ка кол ла лен ма мир на нов па пет ра рин ро са сев та тор фа хо ша".split()}
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
+LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя"}
+#: Endings of Russian family names that tell gender.
+ENDING = "(?:ова|ева|ёва|ина|ына|ская|цкая|ов|ев|ёв|ин|ын|ский|цкий)$"
+#: Words after which a name stands.
+CUES = "[Mm]y name is|[Nn]ame:|[Cc]ontact:|[Ss]igned,|[Ii]ch heiße|[Mm]ein Name ist|[Jj]e m'appelle|[Mm]e llamo|зовут"
+#: Country codes of telephone numbers; all others have three digits (fixed values).
+COUNTRY = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 
 _NAME = r"\p{Lu}\p{L}*\p{Ll}(?:-\p{Lu}\p{Ll}+)?"
 _TITLE = "|".join(TITLES.values())
-_GIVEN = "|".join(n for names in GIVEN.values() for n in names)
+_GIVEN = "|".join(sorted((n for names in GIVEN.values() for n in names), key=len, reverse=True))
 _GAP = r"[ .()-]{0,3}\d"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_MAIL = r"\p{L}\p{M}\p{N}._+-"
 ENTITY = "|".join(
     [
-        r"(?<![A-Za-z0-9._+-])[A-Za-z0-9._+-]*[A-Za-z0-9_+-]@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+        rf"(?<![{_MAIL}])[{_MAIL}]*[\p{{L}}\p{{M}}\p{{N}}_+-]@[\p{{L}}\p{{M}}\p{{N}}-]+(?:\.[\p{{L}}\p{{M}}\p{{N}}-]+)*\.\p{{L}}{{2,}}",
         rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
+        # eight groups, or fewer around one gap and then with a digit
+        r"(?<![\p{L}\p{N}:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]{0,30}\d)[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})(?![\p{L}\p{N}:])",
         r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
         r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9-]{20,}|xox[baprs]-[A-Za-z0-9-]{10,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})",
         r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
@@ -45,12 +60,16 @@ ENTITY = "|".join(
         # seven digits at least: ahead for speed, behind for what is matched in the end
         r"\+(?=\d(?:[ .()-]{0,3}\d){6})\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d)" + rf"(?<=\d{_GAP * 6}\)?)",
         r"(?<![\d.(-])\(?\d{3}\)?[ .-]\d{3}[.-]\d{4}(?![\d-])",
+        # national numbers with their trunk digit: in pairs, or an area code and the rest
+        r"(?<![\d.,/-])(?<!\d )0[1-9](?:[ .]\d{2}){4}(?![ .,]?\d)",
+        r"(?<![\d.,/-])(?<!\d )\(?0[1-9]\d{1,4}\)?[ /-]\d{3,4}(?:[ -]?\d{2,4}){1,2}(?![ .,]?\d)",
         rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}(?: {_NAME})?",
         rf"(?<!\p{{L}})(?:{_GIVEN}) {_NAME}",
+        rf"(?=\p{{Lu}})(?<=(?:{CUES}) ){_NAME}(?: {_NAME})?",
     ]
 )
 #: Every entity holds one of these; texts without them are passed on as they are.
-HINT = rf"[0-9@]|AKIA|gh[pousr]_|sk-|xox|eyJ|(?<!\p{{L}})(?:{_TITLE}|{_GIVEN})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|::|AKIA|gh[pousr]_|sk-|xox|eyJ|(?<!\p{{L}})(?:{_TITLE}|{_GIVEN})\.? \p{{Lu}}|(?:{CUES}) \p{{Lu}}"
 #: Up to so many entities with a later attempt become a constant of the plan; more are joined.
 SMALL_ROWS = 500
 
@@ -59,11 +78,12 @@ def kind_of(e: Column) -> Column:
     return (
         F.when(e.contains("@"), "email")
         .when(e.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ip")
+        .when(e.rlike(r"^[0-9A-Fa-f]{1,4}:"), "ip6")
         .when(e.rlike(r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$"), "hex")
         .when(e.rlike(r"^(?:AKIA|gh[pousr]_|sk-|xox|eyJ)"), "key")
         .when(e.rlike(r"^[A-Z]{2}\d{2}"), "iban")
         .when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-        .when(e.rlike(r"^[\d -]+$") & (F.length(F.regexp_replace(e, r"\D", "")) >= 13), "card")
+        .when(e.rlike(r"^[\d -]+$") & (F.length(digits(e)) >= 13), "card")
         .when(e.rlike(r"^[+(\d]"), "phone")
         .otherwise("name")
     )
@@ -77,13 +97,28 @@ def untitled(e: Column) -> Column:
     return F.regexp_replace(e, rf"^(?:{_TITLE})\.? ", "")
 
 
-def normal_form(e: Column, kind: Column) -> Column:
+def dialled(e: Column) -> Column:
+    """The digits before a telephone number's own: country code and trunk digit."""
+    d = digits(e)
+    return F.when(e.startswith("+"), F.regexp_extract(d, f"^{COUNTRY}0?", 0)).when(d.startswith("00"), F.regexp_extract(d, f"^00{COUNTRY}0?", 0)).otherwise(F.regexp_extract(d, "^0?", 0))
+
+
+def groups(e: Column) -> Column:
+    """The 32 hexadecimal digits of an IPv6 address."""
+    part = lambda i: F.filter(F.split(F.get(F.split(F.lower(e), "::"), i), ":"), lambda g: g != "")
+    four = lambda a: F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda g: F.lpad(g, 4, "0"))
+    left, right = four(part(0)), four(part(1))
+    return F.array_join(F.concat(left, F.array_repeat(F.lit("0000"), 8 - F.size(left) - F.size(right)), right), "")
+
+
+def value_of(e: Column, kind: Column) -> Column:
     """What all spellings of one entity have in common."""
     return (
         F.when(kind.isin("card", "ssn"), digits(e))
-        .when(kind == "phone", F.right(digits(e), F.lit(10)))
-        .when(kind == "email", F.lower(e))
+        .when(kind == "phone", F.substr(digits(e), F.length(dialled(e)) + 1))
+        .when(kind.isin("email", "hex"), F.lower(e))
         .when(kind == "iban", F.replace(e, F.lit(" "), F.lit("")))
+        .when(kind == "ip6", groups(e))
         .when(kind == "name", untitled(e))
         .otherwise(e)
     )
@@ -95,107 +130,155 @@ def pseudo(key: str, kind: Column | str, value: Column, attempt: Column) -> Colu
     return F.sha2(F.concat_ws("\x1f", F.lit(key), kind, value, attempt.cast("string"), F.lit(key)), 256)
 
 
-def number(hexed: Column, at: int, n: int = 7) -> Column:
-    return F.conv(F.substring(hexed, at, n), 16, 10).cast("long")
+def number(hexed: Column, at: Column | int, n: int = 7) -> Column:
+    return F.conv(F.substr(hexed, at if isinstance(at, Column) else F.lit(at), F.lit(n)), 16, 10).cast("long")
 
 
 def as_digits(hexed: Column) -> Column:
     return F.translate(hexed, "abcdef", "012345")
 
 
-def with_digits(e: Column, new: Column) -> Column:
-    """``e`` with its digits, in order, replaced by those of ``new``."""
-    nth = lambda i: F.length(digits(F.substr(e, F.lit(1), i)))
-    return F.array_join(F.transform(F.split(e, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substr(new, nth(i) + 1, F.lit(1))).otherwise(c)), "")
+def spelled(e: Column, new: Column, marks: str = "[0-9]") -> Column:
+    """``e`` with its ``marks``, in order, replaced by the characters of ``new``."""
+    nth = lambda i: F.regexp_count(F.substr(e, F.lit(1), i), F.lit(marks))
+    return F.array_join(F.transform(F.split(e, ""), lambda c, i: F.when(c.rlike(marks), F.substr(new, nth(i) + 1, F.lit(1))).otherwise(c)), "")
 
 
-def shaped(e: Column, hexed: Column, keep: int = 0) -> Column:
-    """``e`` with digits, small and capital letters replaced by others of their kind after the first ``keep`` characters."""
-    letter = lambda i: F.substr(F.lit(LETTERS), (F.conv(F.substr(hexed, (i * 2) % 62 + 1, F.lit(2)), 16, 10).cast("int") + i) % 26 + 1, F.lit(1))
-    one = lambda c, i: (
-        F.when(i < keep, c).when(c.rlike("[0-9]"), F.substr(as_digits(hexed), i % 64 + 1, F.lit(1))).when(c.rlike("[a-z]"), letter(i)).when(c.rlike("[A-Z]"), F.upper(letter(i))).otherwise(c)
-    )
-    return F.array_join(F.transform(F.split(e, ""), one), "")
+def shaped(value: Column, hexed: Column, keep: int = 0) -> Column:
+    """``value`` with digits and letters replaced by others of their kind, case and script after the first ``keep`` characters."""
+
+    def letter(c: Column, i: Column) -> Column:
+        n = number(hexed, (i * 2) % 62 + 1, 2) + i
+        of = lambda script: F.substr(F.lit(LETTERS[script]), (n % len(LETTERS[script]) + 1).cast("int"), F.lit(1))
+        small = F.when(c.rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin"))
+        return F.when(c.rlike(r"\p{Lu}"), F.upper(small)).otherwise(small)
 
+    one = lambda c, i: F.when(i < keep, c).when(c.rlike(r"\p{N}"), F.substr(as_digits(hexed), i % 64 + 1, F.lit(1))).when(c.rlike(r"\p{L}"), letter(c, i)).when(c.rlike(r"\p{M}"), "").otherwise(c)
+    return F.array_join(F.transform(F.split(value, ""), one), "")
 
-def card_number(nd: Column, hexed: Column) -> Column:
+
+def card_number(value: Column, hexed: Column) -> Column:
     """Digits of the same number and first digit whose last is Luhn's check digit."""
-    body = F.concat(F.left(nd, F.lit(1)), F.substr(as_digits(hexed), F.lit(1), F.length(nd) - 2))
-    values = F.transform(F.split(F.reverse(body), ""), lambda c, i: F.when(i % 2 == 0, F.when(c.cast("int") > 4, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2)).otherwise(c.cast("int")))
-    total = F.aggregate(values, F.lit(0), lambda n, x: n + F.coalesce(x, F.lit(0)))
-    return F.concat(body, ((10 - total % 10) % 10).cast("string"))
+    body = F.concat(F.left(value, F.lit(1)), F.substr(as_digits(hexed), F.lit(1), F.length(value) - 2))
+    twice = lambda c: F.when(c > 4, c * 2 - 9).otherwise(c * 2)
+    total = lambda b: F.aggregate(F.transform(F.split(F.reverse(b), ""), lambda c, i: F.when(i % 2 == 0, twice(c.cast("int"))).otherwise(c.cast("int"))), F.lit(0), lambda n, x: n + x)
+    return let(body, lambda b: F.concat(b, ((10 - total(b) % 10) % 10).cast("string")))
+
+
+def iban(value: Column, hexed: Column) -> Column:
+    """The same country, other letters and digits in the same places, and the check digits that they ask for."""
+    rest = shaped(F.substr(value, F.lit(5)), hexed)
+
+    def left(number_: Column) -> Column:
+        chars = F.split(number_, "")
+        return F.aggregate(chars, F.lit(0).cast("long"), lambda n, c: F.when(c.rlike("[0-9]"), n * 10 + c.cast("long")).otherwise(n * 100 + F.ascii(c) - 55) % 97)
 
+    country = F.left(value, F.lit(2))
+    return let(rest, lambda r: F.concat(country, F.lpad((98 - left(F.concat(r, country, F.lit("00")))).cast("string"), 2, "0"), r))
 
-def permuted(value: Column, kind: Column, key: str, rounds: int = 6) -> Column:
-    """Another number of as many digits, by a keyed permutation of all of them that leaves none in its place.
+
+def permuted(left: Column, right: Column, a: Column, b: Column, kind: Column, key: str, rounds: int = 6) -> Column:
+    """struct(l, r): another pair within ``a`` and ``b``, by a keyed permutation of all pairs that leaves none in its place.
 
     Feistel rounds over both halves, one step forward, and the rounds back.
     """
-    n = F.length(value)
-    half = F.floor(n / 2).cast("int")
-    a, b = F.rpad(F.lit("1"), half + 1, F.lit("0")).cast("long"), F.rpad(F.lit("1"), n - half + 1, F.lit("0")).cast("long")
-    start = F.struct(F.substr(value, F.lit(1), half).cast("long").alias("l"), F.substr(value, half + 1, n - half).cast("long").alias("r"))
 
     def step(s: Column, i: Column) -> Column:
         nth, sign = F.least(i, 2 * rounds - i), F.when(i < rounds, 1).otherwise(-1)
-        left = nth % 2 == 0
-        noise = number(pseudo(key, kind, F.concat_ws(":", n, nth, F.when(left, s["r"]).otherwise(s["l"])), F.lit(-1)), 1, 12)
-        turned = F.struct(F.when(left, F.pmod(s["l"] + sign * noise, a)).otherwise(s["l"]).alias("l"), F.when(left, s["r"]).otherwise(F.pmod(s["r"] + sign * noise, b)).alias("r"))
+        first = nth % 2 == 0
+        noise = number(pseudo(key, kind, F.concat_ws(":", a, b, nth, F.when(first, s["r"]).otherwise(s["l"])), F.lit(-1)), 1, 12)
+        turned = F.struct(F.when(first, F.pmod(s["l"] + sign * noise, a)).otherwise(s["l"]).alias("l"), F.when(first, s["r"]).otherwise(F.pmod(s["r"] + sign * noise, b)).alias("r"))
         onward = F.struct(F.when(s["r"] + 1 < b, s["l"]).otherwise(F.pmod(s["l"] + 1, a)).alias("l"), F.pmod(s["r"] + 1, b).alias("r"))
         return F.when(i == rounds, onward).otherwise(turned)
 
-    join = lambda s: F.concat(F.lpad(s["l"].cast("string"), half, F.lit("0")), F.lpad(s["r"].cast("string"), n - half, F.lit("0")))
-    return F.aggregate(F.array(*map(F.lit, range(2 * rounds + 1))), start, step, join)
+    return F.aggregate(F.array(*map(F.lit, range(2 * rounds + 1))), F.struct(left.alias("l"), right.alias("r")), step)
 
 
-def name_like(e: Column, key: str, attempt: Column) -> Column:
-    """Another name under the same title; given names keep gender, all names their script."""
-    name = untitled(e)
-    title = F.left(e, F.length(e) - F.length(name))
-    bare = F.regexp_replace(title, r"\.? $", "")
-    gender = F.when(bare.rlike(f"^(?:{TITLES['m']})$"), "m").when(bare.rlike(f"^(?:{TITLES['f']})$"), "f")
-    words = F.split(name, " ")
+def permuted_digits(value: Column, kind: Column, key: str) -> Column:
+    n = F.length(value)
+    half = F.floor(n / 2).cast("int")
+    ten = lambda k: F.rpad(F.lit("1"), k + 1, F.lit("0")).cast("long")
+    new = permuted(F.coalesce(F.substr(value, F.lit(1), half).try_cast("long"), F.lit(0).cast("long")), F.substr(value, half + 1).try_cast("long"), ten(half), ten(n - half), kind, key)
+    return let(new, lambda s: F.concat(F.when(half > 0, F.lpad(s["l"].cast("string"), half, F.lit("0"))).otherwise(""), F.lpad(s["r"].cast("string"), n - half, F.lit("0"))))
+
+
+def permuted_ip(value: Column, kind: Column, key: str) -> Column:
+    octet = lambda i: F.get(F.split(value, r"\."), i).try_cast("long")
+    all_ = F.lit(1 << 16).cast("long")
+    new = permuted(octet(0) * 256 + octet(1), octet(2) * 256 + octet(3), all_, all_, kind, key)
+    return let(new, lambda s: F.concat_ws(".", *[x.cast("int").cast("string") for c in "lr" for x in (F.floor(s[c] / 256), s[c] % 256)]))
+
+
+def other_name(value: Column, attempt: Column, key: str) -> Column:
+    """Another name of the same script; given names keep their gender, and those that tell none get one that fits both.
+
+    The given name is tried again first, then the family name, which gets
+    longer, so that there is always room.
+    """
+    words = F.split(value, " ")
     given, family = F.when(F.size(words) > 1, words[0]), F.element_at(words, -1)
-    h, f = pseudo(key, "given", given, attempt), pseudo(key, "family", family, F.when(given.isNull(), attempt).otherwise(F.greatest(attempt - 8, F.lit(0))))
+    later = F.when(given.isNull(), attempt).otherwise(F.greatest(attempt - 8, F.lit(0)))
+    ending = F.regexp_extract(family, ENDING, 0)
     listed = lambda g: F.coalesce(given.isin([n for (_, x), names in GIVEN.items() if x == g for n in names]), F.lit(False))
-    gender = F.coalesce(gender, F.when(listed("m"), "m").when(listed("f"), "f"), F.when(number(h, 8) % 2 == 0, "m").otherwise("f"))
+    ends = lambda *last: F.length(ending) * F.when(F.right(ending, F.lit(1)).isin(*last), 1).otherwise(0) > 0
+    gender = F.when(listed("m"), "m").when(listed("f"), "f").when(listed("u"), "u").when(ends("а", "я"), "f").when(ends("в", "н", "й"), "m").otherwise("u")
+    bound = F.struct(pseudo(key, "given", given, attempt).alias("g"), pseudo(key, "family", F.regexp_replace(family, ENDING, ""), later).alias("f"), gender.alias("gender"))
 
-    def of(script: str) -> Column:
-        pick = lambda names: F.get(F.array(*map(F.lit, names)), (number(h, 1) % len(names)).cast("int"))
-        new_given = F.when(gender == "m", pick(GIVEN[script, "m"])).otherwise(pick(GIVEN[script, "f"]))
-        parts = [F.get(F.array(*map(F.lit, SYLLABLES[script])), (number(f, 1 + 7 * k) % len(SYLLABLES[script])).cast("int")) for k in range(7)]
-        family = F.concat(*parts[:4], F.when(attempt > 16, F.concat(*parts[4:])).otherwise(""))
-        return F.concat_ws(" ", F.when(given.isNotNull(), new_given), F.initcap(family))
+    def of(script: str, x: Column) -> Column:
+        pick = lambda g: F.get(F.array(*map(F.lit, GIVEN[script, g])), (number(x["g"], 1) % len(GIVEN[script, g])).cast("int"))
+        table = F.array(*map(F.lit, SYLLABLES[script]))
+        parts = F.transform(F.sequence(F.lit(0), 3 + F.least(F.floor(later / 8).cast("int"), F.lit(10))), lambda k: F.get(table, (number(x["f"], k * 4 + 1, 4) % len(SYLLABLES[script])).cast("int")))
+        first = F.when(x["gender"] == "m", pick("m")).when(x["gender"] == "f", pick("f")).otherwise(pick("u"))
+        return F.concat_ws(" ", F.when(given.isNotNull(), first), F.concat(F.initcap(F.array_join(parts, "")), ending))
 
-    return F.concat(title, F.when(name.rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin")))
+    return let(bound, lambda x: F.when(value.rlike(r"\p{IsCyrillic}"), of("cyrillic", x)).otherwise(of("latin", x)))
 
 
-def surrogate(e: Column, attempt: Column, key: str) -> Column:
-    """The replacement of an entity, in its format.
+def new_value(kind: Column, value: Column, attempt: Column, key: str) -> Column:
+    """The surrogate value.
 
     Where the format leaves the length open, later attempts get longer, so
-    there is always room.  An attempt of -1 asks for ``permuted``.
+    there is always room.  An attempt of -1 asks for a permutation.
     """
-    kind = kind_of(e)
-    h = pseudo(key, kind, normal_form(e, kind), attempt)
-    nd = digits(e)
-    local, domain = F.substring_index(e, "@", 1), F.lower(F.substring_index(e, "@", -1))
-    octets = F.concat_ws(".", (240 + number(h, 1) % 16).cast("string"), *[(number(h, k) % 256).cast("string") for k in (8, 15, 22)])
-    country = F.greatest(F.length(nd) - 10, F.lit(0))
-    # bound to a variable, as the permutation names it often
-    bound = F.get(F.transform(F.array(F.struct(normal_form(e, kind).alias("v"), kind.alias("k"))), lambda x: permuted(x["v"], x["k"], key)), 0)
-    longer = F.left(as_digits(h), F.greatest(attempt - 8, F.lit(0)))
-    new = F.when(attempt < 0, bound).otherwise(F.substr(as_digits(h), F.lit(1), F.length(nd) - F.when(kind == "phone", country).otherwise(0)))
+
+    def of(h: Column) -> Column:
+        longer = F.left(as_digits(h), F.greatest(attempt - 8, F.lit(0)))
+        local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
+        octets = F.concat_ws(".", (240 + number(h, 1) % 16).cast("string"), *[(number(h, k) % 256).cast("string") for k in (8, 15, 22)])
+        some = F.substr(as_digits(h), F.lit(1), F.length(value))
+        # a number that does not begin with 0 gets none that does
+        some = F.when(value.startswith("0"), some).otherwise(F.concat((1 + number(h, 58) % 9).cast("string"), F.substr(some, F.lit(2))))
+        return (
+            F.when(kind == "email", F.concat(shaped(local, h), longer, F.lit("@d"), F.left(pseudo(key, "domain", domain, F.lit(0)), F.lit(12)), F.lit(".example")))
+            .when(kind == "ip", F.when(attempt < 0, permuted_ip(value, kind, key)).otherwise(octets))
+            .when(kind == "ip6", F.concat(F.lit("20010db800000000"), F.left(h, F.lit(16))))
+            .when(kind == "hex", F.substr(F.repeat(h, F.lit(2)), F.lit(1), F.length(value)))
+            .when(kind == "key", F.concat(shaped(value, h, 4), longer))
+            .when(kind == "iban", iban(value, h))
+            .when(kind == "card", card_number(value, h))
+            .when(kind.isin("phone", "ssn"), F.when(attempt < 0, permuted_digits(value, kind, key)).otherwise(some))
+            .otherwise(other_name(value, attempt, key))
+        )
+
+    return let(pseudo(key, kind, value, attempt), of)
+
+
+def respelled(e: Column, kind: Column, new: Column) -> Column:
+    """A surrogate value as ``e`` is spelled."""
+    local = lambda x: F.substring_index(x, "@", 1)
+    cased = F.array_join(F.transform(F.split(local(new), ""), lambda c, i: F.when(F.substr(local(e), i + 1, F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
+    quad = lambda k: F.substr(new, F.lit(4 * k + 1), F.lit(4))
+    low = F.concat_ws(":", *map(quad, range(4, 8)))
+    six = F.when(e.contains("::"), F.concat(F.lit("2001:db8::"), low)).otherwise(F.concat(F.lit("2001:db8:0:0:"), low))
     return (
-        F.when(kind == "email", F.concat(shaped(local, pseudo(key, kind, F.lower(e), attempt)), longer, F.lit("@d"), F.left(pseudo(key, "domain", domain, F.lit(0)), F.lit(8)), F.lit(".example")))
-        .when(kind == "ip", octets)
-        .when(kind == "hex", F.when(e.rlike("[A-F]"), F.upper(F.substr(F.repeat(h, F.lit(2)), F.lit(1), F.length(e)))).otherwise(F.substr(F.repeat(h, F.lit(2)), F.lit(1), F.length(e))))
-        .when(kind == "key", F.concat(shaped(e, h, 4), longer))
-        .when(kind == "iban", shaped(e, pseudo(key, kind, normal_form(e, kind), attempt), 2))
-        .when(kind == "card", with_digits(e, card_number(nd, h)))
-        .when(kind == "phone", with_digits(e, F.concat(F.substr(nd, F.lit(1), country), new)))
-        .when(kind == "ssn", with_digits(e, new))
-        .otherwise(name_like(e, key, attempt))
+        F.when(kind == "email", F.concat(cased, F.lit("@"), F.substring_index(new, "@", -1)))
+        .when(kind == "ip6", F.when(e.rlike("[A-F]"), F.upper(six)).otherwise(six))
+        .when(kind == "hex", F.when(e.rlike("[A-F]"), F.upper(new)).otherwise(new))
+        .when(kind == "iban", spelled(e, new, "[^ ]"))
+        .when(kind == "phone", spelled(e, F.concat(dialled(e), new)))
+        .when(kind.isin("card", "ssn"), spelled(e, new))
+        .when(kind == "name", F.concat(F.left(e, F.length(e) - F.length(untitled(e))), new))
+        .otherwise(new)
     )
 
 
@@ -205,24 +288,27 @@ def entities(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(none)
 
 
-def later_attempts(found: DataFrame, key: str, most: int = 40) -> DataFrame:
+def later_attempts(found: DataFrame, key: str) -> DataFrame:
     """(kind, value, attempt) of the entities whose first surrogate is not theirs alone.
 
-    ``found`` has every distinct (kind, value, e), ``e`` one spelling.  Of those
-    that share a surrogate the first by value keeps it; the others, and those
-    whose surrogate is itself an entity, try again.  Where numbers fill a
-    quarter of their space all of its numbers have attempt -1; elsewhere at
-    most half of the space is taken, so every attempt succeeds at least every
-    second time.
+    ``found`` has every distinct (kind, value).  Of those that share a
+    surrogate the first by value keeps it; the others, and those whose
+    surrogate is itself an entity, try again.  Where numbers fill a quarter of
+    their space all of its numbers have attempt -1; elsewhere at most half of
+    the space is taken, so every attempt succeeds at least every second time
+    and the rounds end.
     """
-    counted = F.count("*").over(Window.partitionBy("kind", F.length("value")))
-    full = F.col("kind").isin("phone", "ssn") & (counted * 4 > F.pow(F.lit(10.0), F.length("value")))
-    held = durable(found.withColumn("attempt", F.when(full, -1).otherwise(0)))
-    dense = held.where("attempt < 0").select("kind", "value", "attempt")
+    space = F.when(F.col("kind") == "ip", F.lit(2.0**28)).otherwise(F.pow(F.lit(10.0), F.col("size")))
+    size = F.when(F.col("kind").isin("phone", "ssn"), F.length("value")).when(F.col("kind") == "ip", 0)
+    found = found.select("kind", "value", size.alias("size"))
+    # at most a row for each length of a telephone number
+    full = found.where("size is not null").groupBy("kind", "size").agg(F.count("*").alias("n")).where(F.col("n") * 4 > space).select("kind", "size", F.lit(True).alias("full"))
+    held = found.join(F.broadcast(full), ["kind", "size"], "left").select("kind", "value", F.when(F.col("full"), -1).otherwise(0).alias("attempt"))
+    held = durable(held)
+    dense = held.where("attempt < 0")
     held = held.where("attempt = 0")
-    for _ in range(most):
-        made = held.withColumn("new", surrogate(F.col("e"), F.col("attempt"), key))
-        made = made.withColumn("new", normal_form(F.col("new"), F.col("kind")))
+    while True:
+        made = held.withColumn("new", new_value(F.col("kind"), F.col("value"), F.col("attempt"), key))
         real = held.select("kind", F.col("value").alias("new"), F.lit(True).alias("real"))
         made = made.join(real, ["kind", "new"], "left")
         nth = F.row_number().over(Window.partitionBy("kind", "new").orderBy(F.col("attempt") > 0, "value"))
@@ -230,43 +316,52 @@ def later_attempts(found: DataFrame, key: str, most: int = 40) -> DataFrame:
         if made.where("again").isEmpty():
             return made.where("attempt > 0").select("kind", "value", "attempt").unionByName(dense)
         held = made.withColumn("attempt", F.col("attempt") + F.col("again").cast("int")).drop("again")
-    raise RuntimeError("some entities found no surrogate of their own")
 
 
 def replace_entities(docs: DataFrame, text: str = "text", key: str = "rotate-me", small_rows: int = SMALL_ROWS) -> DataFrame:
     """``docs`` with its entities replaced in ``text``, and ``n_entities``.
 
     Null texts stay null with 0 entities.  Rows are replaced one by one: equal
-    texts give equal texts, and an empty table gives an empty one.  A column
-    ``n_entities`` of ``docs`` is replaced.
+    texts give equal texts, long ones are read whole, and an empty table gives
+    an empty one.  A column ``n_entities`` of ``docs`` is replaced.  Plans hold
+    a key derived from ``key``, never ``key`` itself.
     """
+    key = hmac.new(key.encode(), b"surrogates", "sha256").hexdigest()
     held = [c for c in docs.columns if c != "n_entities"]
     t = F.col(f"`{text}`")
-    each = docs.select(F.explode(F.array_distinct(entities(t))).alias("e")).withColumn("kind", kind_of(F.col("e"))).withColumn("value", normal_form(F.col("e"), F.col("kind")))
-    later = durable(later_attempts(each.groupBy("kind", "value").agg(F.min("e").alias("e")), key))
+    named = lambda df: df.withColumn("kind", kind_of(F.col("e"))).withColumn("value", value_of(F.col("e"), F.col("kind")))
+    each = named(docs.select(F.explode(F.array_distinct(entities(t))).alias("e")))
+    later = durable(later_attempts(each.select("kind", "value").distinct(), key))
     n_later = later.count()
-    names = F.concat_ws("\x1f", "kind", "value")
     out = docs.select(*[F.col(f"`{c}`") for c in held])
     if n_later == 0:
-        attempt = lambda e: F.lit(0)
+        attempt = lambda e, x: F.lit(0)
     elif n_later <= small_rows:
-        rows = later.select(names.alias("k"), "attempt").collect()
+        rows = later.select(F.concat_ws("\x1f", "kind", "value").alias("k"), "attempt").collect()
         table = F.create_map(*[F.lit(x) for r in rows for x in (r.k, r.attempt)])
-        attempt = lambda e: F.coalesce(F.try_element_at(table, F.concat_ws("\x1f", kind_of(e), normal_form(e, kind_of(e)))), F.lit(0))
+        attempt = lambda e, x: F.coalesce(F.try_element_at(table, F.concat_ws("\x1f", x["kind"], x["value"])), F.lit(0))
     else:
-        marked = docs.select(F.xxhash64(t).alias("_hash"), F.explode(F.array_distinct(entities(t))).alias("e")).distinct()
-        marked = marked.withColumn("kind", kind_of(F.col("e"))).withColumn("value", normal_form(F.col("e"), F.col("kind")))
+        marked = named(docs.select(F.unhex(F.md5(t)).alias("_hash"), F.explode(F.array_distinct(entities(t))).alias("e")).distinct())
         maps = marked.join(later, ["kind", "value"]).groupBy("_hash").agg(F.map_from_entries(F.collect_set(F.struct("e", "attempt"))).alias("_later"))
-        out = out.withColumn("_hash", F.xxhash64(t)).join(maps, "_hash", "left")
-        attempt = lambda e: F.coalesce(F.try_element_at(F.col("_later"), e), F.lit(0))
+        out = out.withColumn("_hash", F.unhex(F.md5(t))).join(maps, "_hash", "left")
+        attempt = lambda e, x: F.coalesce(F.try_element_at(F.col("_later"), e), F.lit(0))
+
+    def surrogate(e: Column) -> Column:
+        with_value = lambda k: F.struct(k.alias("kind"), value_of(e, k).alias("value"))
+        return let(let(kind_of(e), with_value), lambda x: respelled(e, x["kind"], new_value(x["kind"], x["value"], attempt(e, x), key)))
+
     out = out.withColumn("_entities", entities(t))
-    put = F.zip_with(F.split(t, ENTITY, -1), F.transform("_entities", lambda e: surrogate(e, attempt(e), key)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    put = F.zip_with(F.split(t, ENTITY, -1), F.transform("_entities", surrogate), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     new = F.when(F.size("_entities") > 0, F.array_join(put, "")).otherwise(t)
     n = F.size("_entities").cast("long")
     return out.select(*[(new if c == text else F.col(f"`{c}`")).alias(c) for c in held], n.alias("n_entities"))
 
 
 def replace_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` in its columns, with entities replaced and ``n_chars`` counted anew."""
+    """``docs`` in its columns, with entities replaced and ``n_chars`` counted anew.
+
+    Every row stays, null, empty, repeated and very long texts included; null
+    texts stay null, with null ``n_chars``.
+    """
     out = replace_entities(docs).drop("n_entities")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
