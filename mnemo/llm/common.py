@@ -53,10 +53,12 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, most: int = BROADC
     task then has to hold alone, and the others are joined by shuffle.  Keys
     are not null and each is in ``table``.
     """
-    if table.count() <= most:
+    if table.limit(most + 1).count() <= most:
         return rows.join(F.broadcast(table.drop("n")), key)
-    while table.where(F.col("n") > hot).count() > most:
+    while (many := table.where(F.col("n") > hot).count()) > BROADCAST_ROWS:
         hot *= 8
+    if not many:
+        return rows.join(table.drop("n"), key)
     often = F.broadcast(table.where(F.col("n") > hot).drop("n"))
     seldom = table.where(F.col("n") <= hot).drop("n")
     return rows.join(often, key).unionByName(rows.join(often.select(key), key, "left_anti").join(seldom, key))

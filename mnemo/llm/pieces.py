@@ -29,9 +29,9 @@ from pyspark.sql.functions import arrow_udf, pandas_udf
 from sentencepiece import sentencepiece_model_pb2 as proto
 
 BLANK = "▁"
-#: Encoded chunks and judged pairs kept by a worker; it starts anew beyond. Results never depend on it.
-CACHE = 200_000
-NORMAL, UNKNOWN, BYTE = 1, 2, 6
+#: Judged pairs, and characters of encoded chunks, kept by a worker; it starts anew beyond. Results never depend on it.
+CACHE, CACHE_CHARS = 200_000, 4_000_000
+NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
 class Known(dict):
@@ -39,10 +39,14 @@ class Known(dict):
 
     def __init__(self, encode: Callable[[str], tuple[int, ...]]) -> None:
         self.encode = encode
+        self.held = 0
 
     def __missing__(self, chunk: str) -> tuple[int, ...]:
-        if len(self) >= CACHE:
+        # a chunk counts for more than its characters, so short ones are bounded too
+        self.held += len(chunk) + 16
+        if self.held > CACHE_CHARS:
             self.clear()
+            self.held = len(chunk) + 16
         self[chunk] = ids = self.encode(chunk)
         return ids
 
@@ -60,6 +64,8 @@ class Pieces:
         self.bpe = model.trainer_spec.model_type == 2
         self.pieces = [p.piece for p in model.pieces]
         self.kind = [p.type for p in model.pieces]
+        if {USER, UNUSED} & set(self.kind):
+            raise ValueError("a model with user-defined or unused pieces, which are not handled here")
         self.score = [p.score for p in model.pieces]
         self.id = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
         self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
@@ -76,7 +82,8 @@ class Pieces:
         odd = "".join(re.escape(c) for c in sorted(self.characters) if re.fullmatch(r"[^\W\d_]", c) and not c.isalpha())
         apart = re.compile(rf"{BLANK}*(?:[^\W\d_{BLANK}{odd}]+|(?:[^\w{BLANK}]+|[\d_{odd}]+)+)|{BLANK}+").findall
         coarse = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+").findall
-        self.chunks = apart if all(len(apart(p)) == 1 for p in self.id) else coarse
+        crossed = lambda split: any(len(split(p)) > 1 for p in self.id)
+        self.chunks = apart if not crossed(apart) else coarse if not crossed(coarse) else lambda text: [text]
         self.plain_ids = np.array([k == NORMAL for k in self.kind])
         self.byte_ids = np.array([k == BYTE for k in self.kind])
         self.known = Known(self.chunk)
@@ -174,7 +181,7 @@ class Pieces:
         word = text.lstrip(BLANK)
         runs = len(text) - len(word)
         out: list[int] = []
-        if self.bpe and runs > 1 or not word:
+        if self.bpe and (runs > 1 or not word):
             # pieces of blanks have the lowest score, so the word takes its blank first
             body = self.chunk(BLANK + word) if word else ()
             alone = bool(body) and self.pieces[body[0]] != BLANK

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from mnemo.llm.common import join_counted, spread
 from mnemo.operators.components import connected_components
 from mnemo.sources.durable import durable
 
@@ -81,7 +82,7 @@ def near(a: Column, b: Column, most: int) -> Column:
 def link(fps: DataFrame, most: int = 4) -> DataFrame:
     """(fp, component) for every row of ``fps`` (fp, n), all fp different; the component is its smallest fingerprint."""
     segments = most // 2 + 1
-    keyed = fps.select("fp", "n", F.explode(F.array(*signatures(F.col("fp"), segments))).alias("key"))
+    keyed = spread(fps).select("fp", "n", F.explode(F.array(*signatures(F.col("fp"), segments))).alias("key"))
     alike = Window.partitionBy("key")
     keyed = keyed.withColumns({"size": F.count("*").over(alike), "least": F.min("fp").over(alike), "top": F.max(F.struct("n", "fp")).over(alike)["fp"]})
     keyed = durable(keyed.where("size > 1").select("key", "fp", "size", "least", "top"))
@@ -116,10 +117,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", most: int = 4) -> DataF
     """
     marked = durable(docs.select("doc_id", F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), fingerprint(F.col(text)).alias("fp")))
     fps = durable(marked.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")))
-    linked = fps.join(link(fps.select("fp", "n"), most), "fp")
-    ids = linked.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = linked.join(ids, "component").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    linked = durable(fps.join(link(fps.select("fp", "n"), most), "fp").select("fp", F.col("n").alias("n_docs"), "first", "component"))
+    # a component may hold a third of all fingerprints, and a fingerprint a third of all documents
+    ids = durable(linked.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("n")))
+    named = durable(join_counted(linked, ids, "component", most=0).select("fp", "component_id", F.col("n_docs").alias("n")))
+    return join_counted(marked, named, "fp", most=0).select("doc_id", "text_hash", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", most: int = 4) -> DataFrame:

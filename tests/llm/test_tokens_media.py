@@ -2,6 +2,7 @@ import hashlib
 import io
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -34,7 +35,7 @@ def test_counts_are_the_library_s(spark, texts):
 
 def test_counts_do_not_depend_on_the_cache(texts, monkeypatch):
     whole = tokens.Counter(public_tokenizers.path("word_bpe_49k.json")).counts(texts)
-    monkeypatch.setattr(tokens, "CACHE", 50)
+    monkeypatch.setattr(tokens, "CACHE", 200)
     small = tokens.Counter(public_tokenizers.path("word_bpe_49k.json"))
     assert [n for p in tokens.parts(texts, 500) for n in small.counts(p)] == whole
 
@@ -65,6 +66,51 @@ def test_unigram_path_is_the_best_one():
         assert sum(model.score[i] for i in model.path(text)) == best[len(text)]
 
 
+def test_unigram_ids_are_the_library_s(tmp_path):
+    """A model written by hand. Where two ways have the same pieces in another order, rounding decides in the library."""
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    rng = random.Random(4)
+    model = proto.ModelProto()
+    model.trainer_spec.model_type = 1
+    model.normalizer_spec.name, model.normalizer_spec.remove_extra_whitespaces = "identity", False
+    for name, kind in (("<unk>", 2), ("<s>", 3), ("</s>", 3)):
+        model.pieces.add(piece=name, score=0.0, type=kind)
+    made = dict.fromkeys([*"▁abcde", "▁▁", *("".join(rng.choice("▁abcde") for _ in range(rng.randint(2, 5))) for _ in range(60))])
+    for p in made:
+        model.pieces.add(piece=p, score=-rng.uniform(1, 9), type=1)
+    path = tmp_path / "own.model"
+    path.write_bytes(model.SerializeToString())
+    own, library = pieces.Pieces(str(path)), sentencepiece.SentencePieceProcessor(model_file=str(path))
+    for _ in range(500):
+        text = "".join(rng.choice("abcdeab  xé") for _ in range(rng.randint(0, 25)))
+        got, want = own.encode(text), library.encode(text)
+        assert got == want or (sorted(got) == sorted(want) and own.decode(got) == own.decode(want)), text
+    model.pieces.add(piece="own", score=0.0, type=4)
+    path.write_bytes(model.SerializeToString())
+    with pytest.raises(ValueError):
+        pieces.Pieces(str(path))
+
+
+def test_every_code_point_counts_as_in_the_library():
+    library, own = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), tokens.counter("word_bpe_49k.json")
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for shape in ("{}", "a{0}b{0}1"):
+        for k in range(0, len(every), 50_000):
+            part = [shape.format(c) for c in every[k : k + 50_000]]
+            assert own.counts(part) == [len(e.ids) for e in library.encode_batch(part, add_special_tokens=False)]
+
+
+def test_long_words_count_as_in_the_library_and_stay_fast():
+    library, own, rng = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), tokens.counter("word_bpe_49k.json"), random.Random(1)
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "a", "ab", "!?#$%", "".join(chr(0x4E00 + i) for i in range(2000)), "éüa"]
+    words = ["".join(rng.choice(k) for _ in range(n)) for k in kinds for n in (255, 256, 257, 4000)]
+    assert own.counts([*words, " ".join(words)]) == [len(e.ids) for e in library.encode_batch([*words, " ".join(words)], add_special_tokens=False)]
+    start = time.perf_counter()
+    own.counts(["".join(rng.choice(kinds[0]) for _ in range(1_000_000))])
+    assert time.perf_counter() - start < 10
+
+
 def test_odd_rows(spark, odd):
     for out in (tokens.token_counts(odd), pieces.encoded(odd), media.media_columns(odd)):
         assert out.count() == 9 and "extra" in out.columns and len(set(out.columns)) == len(out.columns)
