@@ -115,10 +115,18 @@ def runs(data: bytes, length: int = LENGTH, grain: int = GRAIN) -> tuple[np.ndar
     return first, last, anchor, keys[anchor], rough
 
 
+def distinct(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index, inverse, count) of the different rows of a digest table; half a digest decides unless two rows share it."""
+    _, at, back, n = np.unique(found[:, 0], return_index=True, return_inverse=True, return_counts=True)
+    if (found[at[back], 1] != found[:, 1]).any():
+        _, at, back, n = np.unique(found, axis=0, return_index=True, return_inverse=True, return_counts=True)
+    return at, back.ravel(), n
+
+
 def digests(data: bytes, first: np.ndarray, last: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Two 64-bit columns: the digest of each run's bytes."""
-    view = memoryview(data)
-    parts = [hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)]
+    digest = hashlib.blake2b
+    parts = [digest(data[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)]
     return np.frombuffer(b"".join(parts), np.int64).reshape(-1, 2)
 
 
@@ -135,11 +143,18 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = text.as_buffer().to_pybytes()
             first, last, anchor, key, _ = runs(data)
             if len(anchor):
-                found, at, n = np.unique(digests(data, first, last), axis=0, return_index=True, return_counts=True) if len(anchor) > 1 else (digests(data, first, last), np.zeros(1, np.int64), np.ones(1, np.int64))
-                parts.append((np.full(len(at), one), np.full(len(at), two), anchor[at], key[at].view(np.int64), found[:, 0], found[:, 1], n))
+                found = digests(data, first, last)
+                at, _, n = distinct(found)
+                parts.append((np.full(len(at), one), np.full(len(at), two), anchor[at], key[at].view(np.int64), found[at, 0], found[at, 1], n))
+            if len(parts) >= 500:
+                yield _batch(parts)
+                parts = []
         if parts:
-            names = [x.split()[0] for x in ANCHORS.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names)
+            yield _batch(parts)
+
+
+def _batch(parts: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], [x.split()[0] for x in ANCHORS.split(", ")])
 
 
 EDGES = "text_id long, text_two long, spans array<int>, part long, many boolean, bytes binary, first int, place int, single boolean"
@@ -152,20 +167,20 @@ def _edges(length: int):
         """For each text the spans of whole repeated runs, and the bytes of runs at the edges of repeats."""
         for batch in batches:
             rows: list[tuple] = []
-            for one, two, text, n_copies, listed in zip(*[batch[c].to_pylist() for c in TEXT], batch["text"], batch["n_copies"].to_pylist(), batch["listed"].to_pylist(), strict=True):
+            for one, two, text, n_copies, listed in zip(*[batch[c].to_pylist() for c in TEXT], batch["text"], batch["n_copies"].to_pylist(), batch["listed"], strict=True):
                 data = text.as_buffer().to_pybytes()
                 first, last, anchor, _, rough = runs(data, length)
                 if not len(first):
                     continue
-                known = {x["anchor"]: x for x in listed or ()}
+                known = {x["anchor"]: x for x in listed.as_py() or ()}  # one text's list at a time
                 code = np.array([known[a]["code"] if a in known else -1 for a in anchor.tolist()])
                 # of runs that the text has more than once, one is listed
                 _, back, n = np.unique(rough, return_inverse=True, return_counts=True)
                 often = n[back] > 1
                 if often.any():
                     some = np.flatnonzero(often)
-                    _, back, n = np.unique(digests(data, first[some], last[some], length), axis=0, return_inverse=True, return_counts=True)
-                    often[some] = n[back.ravel()] > 1
+                    _, back, n = distinct(digests(data, first[some], last[some], length))
+                    often[some] = n[back] > 1
                 full = (code < 0) | (code == PARTNER) | often | (n_copies > 1)
                 spans = np.stack([first[full], last[full] + length], 1).astype(np.int32)
                 if len(spans):
@@ -173,10 +188,16 @@ def _edges(length: int):
                 for i in np.flatnonzero(code > ALONE).tolist():
                     x = known[int(anchor[i])]
                     rows.append((one, two, None, x["part"], x["many"], data[first[i] : last[i] + length], first[i], anchor[i] - first[i], bool(code[i] == SINGLE and n_copies == 1)))
+                if len(rows) >= 2000:
+                    yield batch_of(rows)
+                    rows = []
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.int32(), pa.bool_()]
-                names = [x.split()[0] for x in EDGES.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                yield batch_of(rows)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.int32(), pa.bool_()]
+        names = [x.split()[0] for x in EDGES.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return run
 
@@ -249,8 +270,8 @@ class Sorted:
 
     def _verify(self) -> None:
         """Neighbours' extensions byte by byte; where a hash deceived, everything is sorted by its bytes."""
-        for k in range(1, len(self.order), 8192):
-            a, b = self.order[k - 1 : k + 8191], self.order[k : k + 8192]
+        for k in range(1, len(self.order), 1024):
+            a, b = self.order[k - 1 : k + 1023], self.order[k : k + 1024]
             a = a[: len(b)]
             step = np.arange(self.reach)
             end = len(self.data) - 1
