@@ -35,8 +35,11 @@ KEYWORD_STOP = tuple(
 )
 
 
+BM25_TOKEN = "[a-z0-9]{2,}"
+
+
 def bm25_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{2,}"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(BM25_TOKEN), F.lit(0))
 
 
 def query_tokens(text: Column) -> Column:

@@ -7,6 +7,10 @@ how a double is written.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,16 +31,31 @@ def linked(previous: Column, own: Column) -> Column:
 def build_chain(log: DataFrame, by: str = "chain_id") -> DataFrame:
     """``log`` with data_hash, prev_root and root_hash, one chain for each value of ``by``.
 
-    Row hashes are made where the rows are; only (id, hash) is folded, one
-    chain in one row, so chains should be many (agent, key or day).
+    Row hashes are made where the rows are.  A chain can only be folded in
+    order: its rows are sorted in one task, which may spill, and pass through in
+    batches with the last root alone held.  Chains should be many (agent, key
+    or day); ``root_of_roots`` joins them.
     """
     hashed = log.withColumn("data_hash", row_hash())
-    ordered = F.array_sort(F.collect_list(F.struct("id", "data_hash")))
-    chains = hashed.groupBy(by).agg(ordered.alias("rows")).withColumn("roots", F.aggregate("rows", F.array(F.lit(GENESIS)), lambda roots, x: F.concat(roots, F.array(linked(F.element_at(roots, -1), x["data_hash"])))))
-    roots = chains.select(by, F.posexplode("rows").alias("i", "x"), "roots").select(by, F.col("x.id").alias("id"), F.get("roots", F.col("i")).alias("prev_root"), F.get("roots", F.col("i") + 1).alias("root_hash"))
+    rows = hashed.select(by, "id", "data_hash").repartition(by).sortWithinPartitions(by, "id")
+    kinds = {f.name: f.dataType.simpleString() for f in hashed.schema}
+    roots = rows.mapInArrow(_fold, f"`{by}` {kinds[by]}, id {kinds['id']}, prev_root string, root_hash string")
     return hashed.join(roots, [by, "id"])
 
 
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    chain, root = object(), GENESIS
+    for batch in batches:
+        before, after = [], []
+        for c, own in zip(batch[0].to_pylist(), batch["data_hash"].to_pylist(), strict=True):
+            if c != chain:
+                chain, root = c, GENESIS
+            before.append(root)
+            root = hashlib.sha256(f"{root}:{own}".encode()).hexdigest()
+            after.append(root)
+        yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(before, pa.string()), pa.array(after, pa.string())], [*batch.schema.names[:2], "prev_root", "root_hash"])
+
+
 def root_of_roots(chained: DataFrame, by: str = "chain_id") -> DataFrame:
     """One hash over all chains: their last roots, chained in order of ``by``; one row per chain is folded."""
     last = chained.groupBy(by).agg(F.max_by("root_hash", "id").alias("root"))

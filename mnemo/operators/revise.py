@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,48 +29,66 @@ def resolve_candidates(candidates: DataFrame, strategy: str = "entrenchment", st
     return scored.withColumns({"winner": rank == 1, "conflicts_resolved": n - 1}).where("conflicts_resolved > 0")
 
 
-def _accepts(strategy: str, old: Column, new: Column) -> Column:
-    more = new["importance"] >= old["importance"]
-    return {
-        "entrenchment": new["importance"] >= old["entrenchment"],
-        "recency": new["created_at"] >= old["created_at"],
-        "verification": F.when(new["is_verified"] != old["is_verified"], new["is_verified"]).otherwise(more),
-        "importance": more,
-    }[strategy]
+FIELDS = ["seq", "value", "importance", "created_at", "is_verified"]
+
+
+def _accepts(strategy: str, old: dict, new: dict) -> bool:
+    """Whether a proposal replaces the held belief; a comparison with a missing number does not."""
+    least = lambda a, b: a is not None and b is not None and a >= b
+    if strategy == "entrenchment":
+        return least(new["importance"], old["entrenchment"])
+    if strategy == "recency":
+        return least(new["created_at"], old["created_at"])
+    if strategy == "verification" and None not in (new["is_verified"], old["is_verified"]) and new["is_verified"] != old["is_verified"]:
+        return new["is_verified"]
+    return least(new["importance"], old["importance"])
+
+
+def _replay(strategy: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, old = object(), None
+        for batch in batches:
+            decisions, entrenchment, revisions = [], [], []
+            for x in batch.to_pylist():
+                if x["key"] != key:
+                    key, old = x["key"], None
+                own = None if x["importance"] is None else max(0.0, min(1.0, x["importance"]))
+                if old is None:
+                    decision, old = "new", x | {"entrenchment": own, "revisions": 0}
+                elif old["value"] == x["value"]:
+                    decision = "same"
+                elif _accepts(strategy, old, x):
+                    known = [e for e in (old["entrenchment"], own) if e is not None]
+                    decision, old = "accepted", x | {"entrenchment": max(known, default=None), "revisions": old["revisions"] + 1}
+                else:
+                    decision = "rejected"
+                decisions.append(decision)
+                entrenchment.append(old["entrenchment"])
+                revisions.append(old["revisions"])
+            made = [pa.array(decisions, pa.string()), pa.array(entrenchment, pa.float64()), pa.array(revisions, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "decision", "entrenchment", "revisions"])
+
+    return run
 
 
 def replay(proposals: DataFrame, strategy: str = "entrenchment") -> DataFrame:
-    """(key, belief, decisions): proposals of each key folded in order of ``seq``.
+    """Proposals (key, seq, value, importance, created_at, is_verified) with the decision on each, and the belief's entrenchment and revisions after it.
 
-    A fold over one key's proposals; keys are independent.  A belief is
-    struct(value, importance, created_at, is_verified, entrenchment, seq,
-    revisions), decisions an array of struct(seq, decision).
+    Keys are independent; within one the order of ``seq`` decides, so a key's
+    rows are sorted in one task, which may spill, and pass through in batches
+    with one belief held.
     """
-    fields = ["seq", "value", "importance", "created_at", "is_verified"]
-    ordered = F.array_sort(F.collect_list(F.struct(*fields)))
-    kind = "struct<belief:struct<seq:bigint,value:string,importance:double,created_at:double,is_verified:boolean,entrenchment:double,revisions:int>,decisions:array<struct<seq:bigint,decision:string>>>"
-    start = F.from_json(F.lit('{"decisions":[]}'), kind)
-
-    def belief(x: Column, entrenchment: Column, revisions: Column) -> Column:
-        return F.struct(*[x[f].alias(f) for f in fields], entrenchment.alias("entrenchment"), revisions.cast("int").alias("revisions"))
-
-    def step(acc: Column, x: Column) -> Column:
-        old = acc["belief"]
-        decision = (
-            F.when(old.isNull(), "new").when(old["value"].eqNullSafe(x["value"]), "same").when(_accepts(strategy, old, x), "accepted").otherwise("rejected")
-        )
-        own = F.greatest(F.lit(0.0), F.least(F.lit(1.0), x["importance"]))
-        taken = F.when(decision == "new", belief(x, own, F.lit(0))).when(decision == "accepted", belief(x, F.greatest(old["entrenchment"], own), old["revisions"] + 1)).otherwise(old)
-        return F.struct(taken.alias("belief"), F.concat(acc["decisions"], F.array(F.struct(x["seq"].alias("seq"), decision.alias("decision")))).alias("decisions"))
-
-    folded = proposals.groupBy("key").agg(ordered.alias("rows")).select("key", F.aggregate("rows", start, step).alias("r"))
-    return folded.select("key", "r.belief", "r.decisions")
+    rows = proposals.select("key", *FIELDS).repartition("key").sortWithinPartitions("key", *FIELDS)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(_replay(strategy), f"{kinds}, decision string, entrenchment double, revisions int")
 
 
 def revise(proposals: DataFrame, strategy: str = "entrenchment") -> tuple[DataFrame, DataFrame]:
-    """(beliefs, decisions) of ``replay`` as flat rows."""
+    """(beliefs, decisions): what each key holds in the end, and what became of every proposal."""
     out = replay(proposals, strategy)
-    return out.select("key", "belief.*"), out.select("key", F.inline("decisions"))
+    last = F.max_by(F.struct(*FIELDS, "entrenchment", "revisions"), F.struct("revisions", "seq"))
+    beliefs = out.where("decision in ('new', 'accepted')").groupBy("key").agg(last.alias("b")).select("key", "b.*")
+    return beliefs, out.select("key", "seq", "decision")
 
 
 def expand(proposals: DataFrame) -> tuple[DataFrame, DataFrame]:

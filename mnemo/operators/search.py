@@ -41,17 +41,18 @@ def bm25_index(docs: DataFrame, text: Column | None = None) -> tuple[DataFrame,
 def bm25_scores(queries: DataFrame, docs: DataFrame, tokens: Column | None = None, text: Column | None = None) -> DataFrame:
     """(query_id, key, score) for documents with a query term, without metadata weights.
 
-    Only postings of query terms are made: query terms are broadcast (if few)
-    and documents are read once, so the index is never shuffled by term.
+    Only postings of query terms are made: query terms are broadcast (if few),
+    so the index is never shuffled by term, and the postings are written once.
+    Documents are read for them and for the lengths.
     """
     tokens = X.bm25_tokens(F.col("query")) if tokens is None else tokens
     text = F.col("value") if text is None else text
     terms = queries.select("query_id", F.explode(tokens).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
     wanted = terms.select("term").distinct()
     each = docs.select("key", X.bm25_tokens(text).alias("tokens"))
-    each = each.withColumn("doc_len", F.size("tokens"))
-    corpus = each.agg(F.count("*").alias("n"), F.avg("doc_len").alias("avgdl"))
-    postings = each.select("key", "doc_len", F.explode("tokens").alias("term")).join(small(wanted), "term").groupBy("term", "key", "doc_len").agg(F.count("*").alias("tf"))
+    corpus = docs.agg(F.count("*").alias("n"), F.avg(F.regexp_count(F.lower(text), F.lit(X.BM25_TOKEN))).alias("avgdl"))
+    postings = each.select("key", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term")).join(small(wanted), "term").groupBy("term", "key", "doc_len").agg(F.count("*").alias("tf"))
+    postings = durable(postings)
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(corpus)).select("term", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
     hits = postings.join(terms.join(idf, "term"), "term")
@@ -73,20 +74,47 @@ def keyword_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     tokens = F.filter(X.expand_query(F.col("query")), lambda w: w.rlike("^[a-z0-9]{2,}$"))
     scores = durable(bm25_scores(queries, docs, tokens, F.concat_ws(" ", "key", "value")).withColumn("score", F.round("score", 6)))
     missed = queries.join(scores.select("query_id").distinct(), "query_id", "left_anti")
-    inside = docs.join(small(missed), F.contains(F.lower("value"), F.lower("query"))).select("query_id", "key", F.lit(0.5).alias("score"))
+    lowered = docs.select("key", F.lower("value").alias("value"))
+    inside = holding(lowered, missed.select("query_id", F.lower("query").alias("query"))).select("query_id", "key", F.lit(0.5).alias("score"))
     return rank_by(scores.unionByName(inside), [F.desc("score"), F.col("key")], k)
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", block: int = 256) -> DataFrame:
-    """(query_id, key, distance, rank): exact nearest neighbours.
+def holding(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, key) of documents (key, value) that contain a query (query_id, query).
 
-    ``queries`` (query_id, embedding) go to every task in blocks, so each is
-    broadcast in bounded parts; a task keeps its best ``k`` of each query and
-    only those meet.
+    In blocks of a bounded number of queries, each of which goes to every task.
     """
-    q = queries.select("query_id", "embedding").collect()
-    ids = np.array([r[0] for r in q])
-    matrix = np.array([r[1] for r in q], np.float64)
+    queries = durable(queries)
+    blocks = -(-queries.count() // SMALL_QUERIES)
+    out = docs.limit(0).join(F.broadcast(queries.limit(0)), F.lit(True))
+    for b in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        out = out.unionByName(docs.join(F.broadcast(part), F.contains("value", "query")))
+    return out.select("query_id", "key")
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", block_bytes: int = 32 << 20) -> DataFrame:
+    """(query_id, key, distance, rank): exact nearest neighbours by rounded distance, then key.
+
+    Queries (query_id, embedding) go to every task in blocks of bounded size,
+    one pass over ``vectors`` for each; a task keeps its best ``k`` of each
+    query, ties by key, and only those meet.
+    """
+    queries = durable(queries.select("query_id", "embedding").where("embedding is not null"))
+    n, wide = queries.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    blocks = -(-n * (wide or 0) * 8 // block_bytes)
+    key_type = vectors.schema["key"].dataType.simpleString()
+    near = None
+    for b in range(max(1, blocks)):
+        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))) == b).collect()
+        ids, matrix = np.array([r[0] for r in part]), np.array([r[1] for r in part], np.float64)
+        found = vectors.select("key", "embedding").where("embedding is not null").mapInPandas(_nearest(ids, matrix, k, metric), f"query_id long, key {key_type}, distance double")
+        near = found if near is None else near.unionByName(found)
+    return rank_by(near.withColumn("distance", F.round("distance", 6)), [F.col("distance"), F.col("key")], k)
+
+
+def _nearest(ids: np.ndarray, matrix: np.ndarray, k: int, metric: str, rows: int = 256):
+    """The best ``k`` vectors of each batch for each query; of equal ones (to six decimals) those of smallest key."""
     if metric == "cosine" and len(matrix):
         matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
 
@@ -94,20 +122,30 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", bloc
         for pdf in batches:
             if not len(pdf) or not len(ids):
                 continue
+            keys = pdf["key"].to_numpy()
+            order = np.argsort(keys, kind="stable")
+            place = np.empty(len(keys), np.int64)
+            place[order] = np.arange(len(keys))
             v = np.array(pdf["embedding"].tolist(), np.float64)
-            for a in range(0, len(ids), block):
-                m = matrix[a : a + block]
+            for a in range(0, len(ids), rows):
+                m = matrix[a : a + rows]
                 if metric == "cosine":
                     d = 1 - m @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).T
                 else:
                     d = np.sqrt(np.maximum((m * m).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * m @ v.T, 0))
-                best = np.argsort(d, axis=1, kind="stable")[:, : k + 8]
-                rows = np.repeat(np.arange(len(m)), best.shape[1])
-                yield pd.DataFrame({"query_id": ids[a : a + block][rows], "key": pdf["key"].to_numpy()[best.ravel()], "distance": d[rows, best.ravel()]})
+                limit = np.partition(d, min(k, len(keys)) - 1, axis=1)[:, min(k, len(keys)) - 1]
+                best = []
+                for row, most in zip(d, limit, strict=True):
+                    able = np.flatnonzero(row <= most + 1.1e-6)
+                    if len(able) > k:
+                        rounded = np.floor(row[able] * 1e6 + 0.5)
+                        able = able[np.lexsort((place[able], rounded))[:k]]
+                    best.append(able)
+                n = [len(x) for x in best]
+                at = np.concatenate(best)
+                yield pd.DataFrame({"query_id": np.repeat(ids[a : a + rows], n), "key": keys[at], "distance": d[np.repeat(np.arange(len(m)), n), at]})
 
-    key_type = vectors.schema["key"].dataType.simpleString()
-    near = vectors.select("key", "embedding").mapInPandas(local, f"query_id long, key {key_type}, distance double")
-    return rank_by(near.withColumn("distance", F.round("distance", 6)), [F.col("distance"), F.col("key")], k)
+    return local
 
 
 def rrf(rankings: list[tuple[DataFrame, float]], k: int = 60) -> DataFrame:
@@ -162,14 +200,21 @@ def rerank_distance(neighbours: DataFrame) -> DataFrame:
 def lexical_rank(queries: DataFrame, memories: DataFrame, k: int | None = None) -> DataFrame:
     """Number of query tokens inside key and value, plus .1 × importance, where at least one is.
 
-    Distinct tokens of the query set go to every task as one array; each row
-    is searched once for each.
+    A token can only lie inside one run of word characters.  The different runs
+    of all texts are matched once, by equality of the token with the parts of a
+    run that have a token's length, and carry their tokens to the documents.
     """
-    tokens = queries.select("query_id", F.explode(F.array_distinct(X.query_tokens(F.col("query")))).alias("token"))
+    tokens = durable(queries.select("query_id", F.explode(F.array_distinct(X.query_tokens(F.col("query")))).alias("token")))
     words = tokens.select("token").distinct()
+    lengths = F.array(*[F.lit(r[0]) for r in words.select(F.length("token")).distinct().collect()] or [F.lit(1)])
     text = F.lower(F.concat_ws(" ", "key", "value"))
-    hits = memories.select("key", "importance", text.alias("t")).join(small(words), F.contains("t", F.col("token"))).select("key", "importance", "token")
-    out = hits.join(tokens, "token").groupBy("query_id", "key").agg(F.round(F.count("*") + 0.1 * F.first("importance"), 6).alias("score"))
+    runs = memories.select("key", F.explode(F.array_distinct(X.query_tokens(text))).alias("run"))
+    parts = runs.select("run").distinct().select("run", F.explode(F.filter(lengths, lambda n: n <= F.length("run"))).alias("n"))
+    parts = parts.select("run", "n", F.explode(F.sequence(F.lit(1), F.length("run") - F.col("n") + 1)).alias("at")).select("run", F.substr("run", F.col("at"), F.col("n")).alias("token"))
+    matched = durable(parts.join(small(words), "token").groupBy("run").agg(F.collect_set("token").alias("tokens")))
+    hits = runs.join(small(matched), "run").select("key", F.explode("tokens").alias("token")).distinct()
+    counts = hits.join(small(tokens), "token").groupBy("query_id", "key").agg(F.count("*").alias("n"))
+    out = counts.join(memories.select("key", "importance"), "key").select("query_id", "key", F.round(F.col("n") + 0.1 * F.col("importance"), 6).alias("score"))
     return rank_by(out, [F.desc("score"), F.col("key")], k)
 
 

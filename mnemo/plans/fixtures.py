@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mnemo.operators.search import small
+
 #: The fixed clock, 2024-02-01 00:00:00 UTC.
 NOW = 1706745600.0
 
@@ -96,20 +98,19 @@ def doc_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first twelve words of each benchmark text."""
-    words = F.slice(F.split("text", " "), 1, 12)
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"))
+    """Each benchmark text as a query."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def query_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, key): documents that hold a query's words."""
     docs = doc_memories(spark, sf_dir).select("key", "value")
-    return docs.join(F.broadcast(queries(spark, sf_dir)), F.col("value").contains(F.col("query"))).select("query_id", "key")
+    return docs.join(small(queries(spark, sf_dir)), F.col("value").contains(F.col("query"))).select("query_id", "key")
 
 
-def kg_edges(spark: SparkSession, sf_dir: str, every: int = 10, whole: bool = True) -> DataFrame:
+def kg_edges(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
     """Edges customer → part → supplier → nation → region with types by number."""
-    lines = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % every == 0).join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     name = lambda p, c: F.concat(F.lit(p), F.col(c))
     edge = lambda df, a, b, t, w: df.select(a.alias("source"), b.alias("target"), F.lit(t).cast("int").alias("t") if isinstance(t, int) else t.cast("int").alias("t"), w.alias("w"))
     out = edge(lines, name("c", "o_custkey"), name("p", "l_partkey"), (F.col("l_orderkey") + F.col("l_linenumber")) % 5, 1 - F.col("l_discount"))
@@ -123,7 +124,8 @@ def kg_edges(spark: SparkSession, sf_dir: str, every: int = 10, whole: bool = Tr
 
 
 def kg_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kg_edges(spark, sf_dir, 100, False)
+    """Edges customer → part only."""
+    return kg_edges(spark, sf_dir, False)
 
 
 #: The same tables as DuckDB sees them, to be put before a query's SQL.
@@ -140,14 +142,14 @@ SQL = {
     "agent_beliefs": "agent_beliefs AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY agent_id, key ORDER BY seq DESC) AS n FROM commits) WHERE n = 1)",
     "audit_log": """audit_log AS (SELECT seq AS id, op_type, key, micros, created_at, lag(value) OVER (PARTITION BY key ORDER BY seq) AS before, CASE WHEN op_type <> 'delete' THEN value END AS after, agent_id AS chain_id FROM commits)""",
     "doc_memories": "doc_memories AS (SELECT doc_id AS seq, 'd' || doc_id AS key, text AS value, 'semantic' AS memory_type, source AS session_id, round((doc_id % 100) / 100.0, 2) AS importance, doc_id % 3 = 0 AS is_verified, (doc_id % 25)::INT AS access_count, lang FROM documents)",
-    "queries": "queries AS (SELECT item_id AS query_id, array_to_string(list_slice(string_split(text, ' '), 1, 12), ' ') AS query FROM benchmark)",
+    "queries": "queries AS (SELECT item_id AS query_id, text AS query FROM benchmark)",
     "query_truth": "query_truth AS (SELECT query_id, key FROM doc_memories JOIN queries ON contains(value, query))",
-    "kg_edges": """kg_edges AS (WITH li AS (SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 10 = 0),
+    "kg_edges": """kg_edges AS (WITH li AS (SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
  e AS (SELECT 'c' || o_custkey AS source, 'p' || l_partkey AS target, (l_orderkey + l_linenumber) % 5 AS t, 1 - l_discount AS w FROM li UNION ALL SELECT 'p' || l_partkey, 's' || l_suppkey, (l_partkey + l_suppkey) % 5, 1 - l_tax FROM li
  UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 0, 1.0 FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 0, 1.0 FROM nation)
  SELECT source, target, ['related_to', 'causes', 'contradicts', 'supports', 'temporal_before'][(t + 1)::INT] AS relation_type, max(round(w, 2)) AS weight FROM e GROUP BY ALL)""",
     "kg_sparse": """kg_sparse AS (SELECT 'c' || o_custkey AS source, 'p' || l_partkey AS target, ['related_to', 'causes', 'contradicts', 'supports', 'temporal_before'][((l_orderkey + l_linenumber) % 5 + 1)::INT] AS relation_type,
- max(round(1 - l_discount, 2)) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 100 = 0 GROUP BY ALL)""",
+ max(round(1 - l_discount, 2)) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)""",
 }
 NEEDS = {"memories": ["commits"], "agent_beliefs": ["commits"], "audit_log": ["commits"], "query_truth": ["doc_memories", "queries"]}
 

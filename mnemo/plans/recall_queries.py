@@ -43,10 +43,10 @@ BM25 = (
 RANKED = "SELECT query_id, key, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key)::INT AS rank FROM {}) WHERE rank <= {}"
 
 
-@query("bm25_index", "doc_memories", BM25_TERMS.format(text="value") + "SELECT term, df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM df, corpus WHERE df >= 20")
+@query("bm25_index", "doc_memories", BM25_TERMS.format(text="value") + "SELECT term, df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM df, corpus")
 def bm25_index(spark, sf):
     postings, _, corpus = I.bm25_index(T.doc_memories(spark, sf))
-    df = postings.groupBy("term").agg(F.count("*").alias("df")).where("df >= 20").crossJoin(F.broadcast(corpus))
+    df = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus))
     return df.select("term", "df", six(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).alias("idf"))
 
 
@@ -85,15 +85,14 @@ def keyword_search(spark, sf):
 
 def vectors(spark, sf) -> tuple[DataFrame, DataFrame]:
     v = T.table(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), "embedding")
-    return v.where("key < 20").withColumnRenamed("key", "query_id"), v
+    return v.where("key % 50 = 0").withColumnRenamed("key", "query_id"), v
 
 
 for _metric, _f in {"l2": "list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])", "cosine": "1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"}.items():
 
-    @query(f"knn_{_metric}", "", f"SELECT query_id, key, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, key)::INT AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS key, round({_f}, 6) + 0.0 AS distance FROM embeddings a, embeddings b WHERE a.vec_id < 20 AND b.vec_id >= 20)) WHERE rank <= 5")
+    @query(f"knn_{_metric}", "", f"SELECT query_id, key, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, key)::INT AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS key, round({_f}, 6) + 0.0 AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)) WHERE rank <= 5")
     def knn(spark, sf, metric=_metric):
-        q, v = vectors(spark, sf)
-        return I.knn(q, v.where("key >= 20"), 5, metric)
+        return I.knn(*vectors(spark, sf), 5, metric)
 
 
 LEXICAL = """t AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9_]+')) AS token FROM queries), w AS (SELECT key, importance, lower(key || ' ' || value) AS t FROM doc_memories),
@@ -115,15 +114,15 @@ def rrf_fusion(spark, sf):
 
 
 def doc_vectors(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Vectors of the first documents, and queries with the vectors of equal number."""
+    """Queries with the vectors of equal number, and all vectors as those of documents."""
     v = T.table(spark, sf, "embeddings")
-    return v.select(F.col("vec_id").alias("query_id"), "embedding").where("query_id < 40"), v.select(F.concat(F.lit("d"), "vec_id").alias("key"), "embedding")
+    return v.select(F.col("vec_id").alias("query_id"), "embedding").join(T.queries(spark, sf), "query_id", "left_semi"), v.select(F.concat(F.lit("d"), "vec_id").alias("key"), "embedding")
 
 
 HYBRID = KEYWORD + """, kind AS (SELECT query_id, CASE WHEN regexp_matches(lower(query), 'when|before|after|first|order|timeline') THEN 0.7 WHEN regexp_matches(lower(query), 'why|because|reason|cause') THEN 0.5
  WHEN regexp_matches(lower(query), 'who|what|which|how many|how|connect|relate|link') THEN 0.3 ELSE 0.5 END AS wk FROM queries),
  kr AS (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM s),
- vr AS (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY d, key) AS rank FROM (SELECT a.vec_id AS query_id, 'd' || b.vec_id AS key, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS d FROM embeddings a, embeddings b WHERE a.vec_id < 40)),
+ vr AS (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY d, key) AS rank FROM (SELECT a.vec_id AS query_id, 'd' || b.vec_id AS key, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS d FROM embeddings a, embeddings b WHERE a.vec_id IN (SELECT query_id FROM queries))),
  hu AS (SELECT query_id, key, wk / (60 + rank) AS p FROM kr JOIN kind USING (query_id) WHERE rank <= 10 UNION ALL SELECT query_id, key, (1 - wk) / (60 + rank) FROM vr JOIN kind USING (query_id) WHERE rank <= 10),
  hyb AS (SELECT query_id, key, round(sum(p), 9) AS score FROM hu GROUP BY ALL), hr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key)::INT AS rank FROM hyb) """
 
@@ -226,22 +225,22 @@ def recall_intelligent(spark, sf):
     return I.recall_intelligent(q, docs, hybrid, H.entity_overlap_boost(q, index(spark, sf)), 5)
 
 
-STARTS = "c1 c10 c100 c1000 c7".split()
+STARTS = "SELECT 'c' || c_custkey FROM customer WHERE c_custkey % 50 = 0"
 
 
-@query("relations", "kg_edges", "SELECT source, target, relation_type, weight FROM kg_edges WHERE source IN ('c1', 'c10', 'c100', 'c1000', 'c7') AND relation_type IN ('causes', 'supports')")
+@query("relations", "kg_edges", f"SELECT source, target, relation_type, weight FROM kg_edges WHERE source IN ({STARTS}) AND relation_type IN ('causes', 'supports')")
 def relations(spark, sf):
-    return H.relations(T.kg_edges(spark, sf), starts(spark), ["causes", "supports"])
+    return H.relations(T.kg_edges(spark, sf), starts(spark, sf), ["causes", "supports"])
 
 
-def starts(spark) -> DataFrame:
-    return spark.createDataFrame([(s,) for s in STARTS], "node string")
+def starts(spark, sf) -> DataFrame:
+    return T.table(spark, sf, "customer").where("c_custkey % 50 = 0").select(F.concat(F.lit("c"), "c_custkey").alias("node"))
 
 
-@query("traverse", "kg_edges", """s AS (SELECT unnest(['c1', 'c10', 'c100', 'c1000', 'c7']) AS start), e AS (SELECT DISTINCT source, target FROM kg_edges),
+@query("traverse", "kg_edges", f"""s AS (SELECT * FROM ({STARTS}) AS t(start)), e AS (SELECT DISTINCT source, target FROM kg_edges),
  w AS (SELECT start, start AS node, 0 AS depth FROM s UNION SELECT w.start, e.target, w.depth + 1 FROM w JOIN e ON e.source = w.node WHERE depth < 3) SELECT start, node, min(depth)::INT AS depth FROM w GROUP BY ALL""", recursive=True)
 def traverse(spark, sf):
-    return H.traverse(T.kg_edges(spark, sf), starts(spark))
+    return H.traverse(T.kg_edges(spark, sf), starts(spark, sf))
 
 
 @query("contradictions", "kg_edges", "SELECT source, target, CASE WHEN bool_or(relation_type = 'supports') THEN 'relation_conflict' ELSE 'direct_contradiction' END AS kind, count(*) AS edges FROM kg_edges WHERE relation_type IN ('supports', 'contradicts') GROUP BY ALL HAVING bool_or(relation_type = 'contradicts')")
@@ -261,8 +260,8 @@ def graph_stats(spark, sf):
     return H.graph_stats(T.kg_edges(spark, sf))
 
 
-REACH = """u AS (SELECT source AS a, target AS b FROM kg_sparse UNION SELECT target, source FROM kg_sparse), r AS (SELECT a AS node, a AS c FROM u UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.node),
- comp AS (SELECT node, min(c) AS component FROM r GROUP BY 1), sz AS (SELECT component, count(*) AS size FROM comp GROUP BY 1), main AS (SELECT component AS m FROM sz ORDER BY size DESC, component LIMIT 1)"""
+REACH = """u AS (SELECT source AS a, target AS b FROM kg_sparse UNION SELECT target, source FROM kg_sparse), r(node, c) USING KEY (node) AS (SELECT DISTINCT a, a FROM u UNION (SELECT q.node, min(p.c) FROM r p JOIN u ON u.a = p.node JOIN recurring.r q ON q.node = u.b WHERE p.c < q.c GROUP BY q.node)),
+ comp AS (SELECT node, c AS component FROM r), sz AS (SELECT component, count(*) AS size FROM comp GROUP BY 1), main AS (SELECT component AS m FROM sz ORDER BY size DESC, component LIMIT 1)"""
 
 
 @query("components", "kg_sparse", REACH + " SELECT node, component, size, component = m AS main FROM comp JOIN sz USING (component), main", recursive=True)
@@ -307,7 +306,8 @@ def numbered_edges(spark, sf) -> DataFrame:
 
 @query("spread_activation")
 def spread_activation(spark, sf):
-    seeds = spark.createDataFrame([(q, s, 1.0 - 0.1 * i, i) for q in range(2) for i, s in enumerate(STARTS[q:])], "query_id long, node string, score double, seed_seq long")
+    n = F.substring("node", 2, 20).cast("long")
+    seeds = starts(spark, sf).select((n % 200).alias("query_id"), "node", (1.0 - 0.1 * (n / 200 % 5)).alias("score"), n.alias("seed_seq"))
     out = H.spread_activation(numbered_edges(spark, sf), seeds, least=0.05)
     return out.select("query_id", "node", six("score").alias("score"), "hops", F.array_join("path", ">").alias("path"))
 

@@ -9,20 +9,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; set here only where the session has none (as in tests)."""
+    """The folder all executors share; set here only for local sessions without one (as in tests), elsewhere it must be set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def job_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{spark.conf.get('spark.app.id', 'tables')}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written once as a table in the shared folder and read back.
 
     Unlike ``checkpoint()`` it computes the plan once, and later reads prune columns.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{job_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Removes the durable tables of this application, once no result that reads them is needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(job_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
