@@ -64,12 +64,16 @@ class Hashes:
         n = len(data)
         up, down = self._cache.get(which, (np.zeros(0), np.zeros(0)))
         if len(up) <= n:
-            size = max(1 << 16, 1 << (n + 1).bit_length())
+            size = max(1 << 16, n + n // 8 + 1)
             base = int(_BASES[which])
             self._cache[which] = up, down = _powers(base, size), _powers(pow(base, -1, 1 << 64), size)
         self.down = down
         self.prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum((data + np.uint64(1)) * up[:n], out=self.prefix[1:])
+        own = self.prefix[1:]
+        own[:] = data
+        own += np.uint64(1)
+        own *= up[:n]
+        np.cumsum(own, out=own)
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (self.prefix[b] - self.prefix[a]) * self.down[a]
@@ -91,7 +95,7 @@ def runs(data: bytes, length: int = LENGTH, grain: int = GRAIN) -> tuple[np.ndar
     none = np.zeros(0, np.int64)
     if n < length:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    hashes = Hashes(np.frombuffer(data, np.uint8).astype(np.uint64))
+    hashes = Hashes(np.frombuffer(data, np.uint8))
     at = np.arange(n - grain + 1)
     keys = _mixed(hashes.of(at, at + grain))
     mask = np.uint64((1 << PIECE_BITS) - 1)
@@ -215,13 +219,14 @@ class Sorted:
 
     def __init__(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
         self.data, self.start, self.size = data, start, size
-        self.hashes = Hashes(data.astype(np.uint64))
+        self.hashes = Hashes(data)
         self.reach = int(size.max(initial=0))
         self.order = self._sorted(len(start))
         self.common = np.zeros(len(start), np.int64)
         a, b = self.order[:-1], self.order[1:]
         self.common[1:] = self._extension(a, b)
         self._verify()
+        del self.hashes
 
     def _extension(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common prefix of strings ``a`` and ``b``, by binary search over hashes."""
@@ -337,7 +342,7 @@ def _resolve(length: int):
         out = [where[new], where[ends] + length]
         rest, at = np.concatenate(open_rows, 1) if open_rows else np.zeros((2, 0), np.int64)
         low = begin[rest] + at
-        one, two = (_mixed(Hashes(data.astype(np.uint64), k).of(low, low + length)).view(np.int64) for k in (0, 1))
+        one, two = (_mixed(Hashes(data, k).of(low, low + length)).view(np.int64) if len(low) else low for k in (0, 1))
         nothing = pa.nulls(len(new), pa.int64())
         columns = [
             *[pa.array(np.r_[x[of[new]], x[rest]], pa.int64()) for x in named],
