@@ -124,6 +124,18 @@ def consolidation_report(memories: DataFrame, now: float) -> DataFrame:
     )
 
 
+def consolidation_health(memories: DataFrame, spots: DataFrame, now: float, window: float = 3600.0) -> DataFrame:
+    """One row: strengthened (pairs of keys used within ``window`` of now), blind_spots and health within 0 and 1.
+
+    Uses inside the window all lie less than it apart, so their pairs are
+    counted, not made; a use after ``now`` counts as one at ``now``.
+    """
+    used = memories.where((F.col("last_accessed") > 0) & (F.lit(now) - F.col("last_accessed") < window))
+    n = used.agg(F.count_distinct("key").alias("n")).select(F.expr("n * (n - 1) div 2").alias("strengthened"))
+    found = spots.agg(F.count("*").alias("blind_spots"))
+    return n.crossJoin(found).withColumn("health", F.round(F.greatest(F.lit(0.0), 1 - 0.1 * F.col("blind_spots")), 6))
+
+
 def co_access_pairs(accesses: DataFrame, window: float = 3600.0, by: str = "session_id", now: float | None = None) -> DataFrame:
     """(by, key_a, key_b): keys whose last accesses lie less than ``window`` seconds apart.
 

@@ -18,14 +18,18 @@ def entity_index(memories: DataFrame) -> DataFrame:
 
 
 def ingest(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of semantic memories: a fact per memory and per named value, an entity per capitalised word."""
+    """(nodes, edges) of semantic memories: a fact per memory and per named value, an entity per capitalised word.
+
+    Facts of memories keep source, created_at and is_verified where ``memories`` has them.
+    """
     m = memories.where("memory_type = 'semantic'")
-    facts = m.select(F.col("key").alias("name"), F.lit("fact").alias("node_type"), F.left("value", F.lit(500)).alias("text"), "importance", "seq")
+    told = [c for c in ("source", "created_at", "is_verified") if c in m.columns]
+    facts = m.select(F.col("key").alias("name"), F.lit("fact").alias("node_type"), F.left("value", F.lit(500)).alias("text"), "importance", "seq", *told)
     words = entity_index(m)
     named = m.select("key", "seq", F.inline(X.key_values(F.col("value")))).select("key", "seq", "name").distinct()
     small = lambda df, c, t: df.select(F.col(c).alias("name"), F.lit(t).alias("node_type"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("double").alias("importance"), "seq")
-    every = facts.unionByName(small(words, "entity", "entity")).unionByName(small(named, "name", "fact"))
-    nodes = every.groupBy("name").agg(F.min_by("node_type", F.struct("seq", F.col("node_type") == "entity")).alias("node_type"), F.max("text").alias("text"), F.max("importance").alias("importance"))
+    every = facts.unionByName(small(words, "entity", "entity"), True).unionByName(small(named, "name", "fact"), True)
+    nodes = every.groupBy("name").agg(F.min_by("node_type", F.struct("seq", F.col("node_type") == "entity")).alias("node_type"), F.max("text").alias("text"), F.max("importance").alias("importance"), *[F.max(c).alias(c) for c in told])
     edges = words.select(F.col("key").alias("source"), F.col("entity").alias("target"), F.lit("related_to").alias("relation_type"), F.lit(0.5).alias("weight"))
     return nodes, edges.unionByName(named.select(F.col("key").alias("source"), F.col("name").alias("target"), F.lit("supports").alias("relation_type"), F.lit(0.8).alias("weight")))
 
@@ -79,6 +83,16 @@ def traverse(edges: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:
     return seen
 
 
+def walked_edges(edges: DataFrame, seen: DataFrame, depth: int = 3, types: list[str] | None = None) -> DataFrame:
+    """(start, source, target, relation_type, weight): the edges that a walk (``traverse`` to the same depth) went over.
+
+    ``types`` leaves other edges out of the result; the walk does not stop at them.  Edges without a type stay.
+    """
+    shown = edges.where(F.col("relation_type").isNull() | (F.col("relation_type") == "") | F.col("relation_type").isin(types)) if types else edges
+    out = seen.where(F.col("depth") < depth).select("start", F.col("node").alias("source"))
+    return shown.join(out, "source").select("start", "source", "target", "relation_type", "weight")
+
+
 def contradictions(edges: DataFrame) -> DataFrame:
     """(source, target, kind, edges): pairs that are contradicted, and whether they are supported too."""
     has = lambda t: F.bool_or(F.col("relation_type") == t)
@@ -97,6 +111,15 @@ def link_backlog(memories: DataFrame, index: DataFrame, limit: int = 500) -> Dat
     return memories.where("memory_type = 'semantic'").join(index.select("key"), "key", "left_anti").orderBy(F.desc("importance"), "key").limit(limit)
 
 
+def ingest_backlog(memories: DataFrame, index: DataFrame, limit: int = 500) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, counts) of the backlog's memories; ``counts`` has processed, entities and relations in one row."""
+    late = durable(link_backlog(memories, index, limit))
+    nodes, edges = ingest(late)
+    n = late.agg(F.count("*").alias("processed"))
+    counts = n.crossJoin(nodes.agg(F.count_if(F.col("node_type") == "entity").alias("entities"))).crossJoin(edges.agg(F.count("*").alias("relations")))
+    return nodes, edges, counts
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component, size, main): undirected components; the largest is main, of equals the one with the smallest node."""
     named = connected_components(edges.select(F.col("source").alias("u"), F.col("target").alias("v")))
@@ -135,11 +158,13 @@ def graph_health(spots: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFr
     return out.withColumn("health", F.round(F.when(F.col("nodes") > 0, health).otherwise(0.0), 6))
 
 
-def graph_stats(edges: DataFrame) -> DataFrame:
+def graph_stats(edges: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """One row: nodes, edges, contradictions, density and, with ``index`` (entity, key), entity_links."""
     ends = edges.select(F.col("source").alias("n")).unionByName(edges.select(F.col("target").alias("n")))
     n = ends.agg(F.count_distinct("n").alias("nodes"))
     e = edges.agg(F.count("*").alias("edges"), F.count_if(F.col("relation_type") == "contradicts").alias("contradictions"))
-    return n.crossJoin(e).withColumn("density", F.round(F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1)), 9))
+    out = n.crossJoin(e).withColumn("density", F.round(F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1)), 9))
+    return out if index is None else out.crossJoin(index.select("entity", "key").distinct().agg(F.count("*").alias("entity_links")))
 
 
 def entity_overlap_boost(queries: DataFrame, index: DataFrame) -> DataFrame:
@@ -149,6 +174,32 @@ def entity_overlap_boost(queries: DataFrame, index: DataFrame) -> DataFrame:
     return shared.select("query_id", "key", F.least(F.lit(0.4), F.round(0.2 * F.col("n"), 6)).alias("boost"))
 
 
+def metadata_edges(memories: DataFrame, metadata: str = "metadata") -> DataFrame:
+    """(source, target, relation_type, weight, edge_seq) from the list ``relations`` in a memory's JSON metadata.
+
+    Its members are [type, target] or {"target", "type", "strength"}; a missing
+    type is ``related_to``, a missing strength .5.  Other members, empty targets
+    and strength zero, which activates nothing, give no edge.
+    """
+    members = F.from_json(F.get_json_object(metadata, "$.relations"), "array<string>")
+    rows = memories.select(F.col("key").alias("source"), F.posexplode(members).alias("n", "x"))
+    pair = F.from_json(F.when(F.col("x").startswith("["), F.col("x")), "array<string>")
+    named = F.from_json(F.when(F.col("x").startswith("{"), F.col("x")), "target string, type string, strength double")
+    rows = rows.withColumns({"pair": pair, "named": named})
+    is_pair = F.col("pair").isNotNull() & (F.size("pair") >= 2)
+    target = F.when(is_pair, F.get("pair", F.lit(1))).otherwise(F.col("named.target"))
+    kind = F.when(is_pair, F.get("pair", F.lit(0))).otherwise(F.coalesce("named.type", F.lit("related_to")))
+    strength = F.when(is_pair, 0.5).otherwise(F.coalesce("named.strength", F.lit(0.5)))
+    out = rows.select("source", target.alias("target"), kind.alias("relation_type"), strength.alias("weight"), F.col("n").cast("long").alias("edge_seq"))
+    return out.where("target <> '' and weight <> 0")
+
+
+def with_metadata_edges(edges: DataFrame, memories: DataFrame) -> DataFrame:
+    """Edges of the graph and of the memories' metadata, numbered so that a node's own edges come first."""
+    late = metadata_edges(memories).withColumn("edge_seq", F.col("edge_seq") + (1 << 40))
+    return edges.select("source", "target", "relation_type", "weight", F.col("edge_seq").cast("long").alias("edge_seq")).unionByName(late)
+
+
 def spread_activation(edges: DataFrame, seeds: DataFrame, decay: float = 0.5, hops: int = 3, least: float = 0.1, combine: str = "first") -> DataFrame:
     """(query_id, node, score, hops, path): activation from seeds (query_id, node, score, seed_seq) along edges with edge_seq.
 

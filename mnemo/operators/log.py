@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemo.operators.predicates import failed_rules
+
 GENESIS = "0" * 64
 WRITES, DELETES = ("create", "update", "consolidate"), ("delete", "forget")
 
@@ -64,21 +66,25 @@ def root_of_roots(chained: DataFrame, by: str = "chain_id") -> DataFrame:
 
 
 def verify_chain(chained: DataFrame, by: str = "chain_id") -> DataFrame:
-    """Per chain: valid, entries, first_error and stored_root.
+    """Per chain: valid, entries, first_error, stored_root, current_root and root_mismatch.
 
     Each row is held against its predecessor's stored root.  Up to the first
     error stored and computed roots agree, so this finds what a walk finds,
-    without walking.
+    without walking.  ``current_root`` is the last root that a walk reaches: the
+    one before the first error, or the stored one.
     """
     before = F.lag("root_hash", 1, GENESIS).over(Window.partitionBy(by).orderBy("id"))
     bad = (F.col("data_hash") != row_hash()) | (F.col("root_hash") != linked(before, row_hash()))
-    checked = chained.withColumn("bad", F.coalesce(bad, F.lit(True)))
-    return checked.groupBy(by).agg(
+    checked = chained.withColumns({"bad": F.coalesce(bad, F.lit(True)), "before_root": before})
+    out = checked.groupBy(by).agg(
         (F.count_if("bad") == 0).alias("valid"),
         F.count("*").alias("entries"),
         F.min(F.when(F.col("bad"), F.col("id"))).alias("first_error"),
         F.max_by("root_hash", "id").alias("stored_root"),
+        F.min_by("before_root", F.when(F.col("bad"), F.col("id"))).alias("_reached"),
     )
+    current = F.when(F.col("valid"), F.col("stored_root")).otherwise(F.coalesce("_reached", F.lit(GENESIS)))
+    return out.withColumns({"current_root": current, "root_mismatch": ~F.col("stored_root").eqNullSafe(current)}).drop("_reached")
 
 
 def history(log: DataFrame, limit: int = 20, keys: DataFrame | None = None) -> DataFrame:
@@ -128,21 +134,50 @@ def rollback(current: DataFrame, log: DataFrame, micros: int) -> DataFrame:
     return plan
 
 
-def rejects_rollback(log: DataFrame, micros: int) -> bool:
-    """Whether a target value is no JSON, for which a rollback must not start. One count reaches the driver."""
+def rejects_rollback(log: DataFrame, micros: int, required: tuple[str, ...] = ()) -> bool:
+    """Whether a target value is no JSON, for which a rollback must not start. One count reaches the driver.
+
+    With ``required`` (``memory_type`` for logs of whole entries) a value must
+    be an object that has these names; a null value is none.
+    """
+    names = F.json_object_keys("value")
     bad = F.col("value").isNotNull() & F.try_parse_json("value").isNull()
+    for name in required:
+        bad = bad | ~F.coalesce(F.array_contains(names, name), F.lit(False))
     return not state_at(log, micros).where(bad).isEmpty()
 
 
+def rollback_log(plan: DataFrame, micros: int, at: int) -> DataFrame:
+    """(op_type, key, micros, before, after): the log rows of a rollback to ``micros`` made at ``at``.
+
+    One row for each key of the plan, and one of ``__system`` with the counts;
+    the keys themselves stay in their rows.
+    """
+    each = plan.select(F.col("action").alias("op_type"), "key", F.lit(at).cast("long").alias("micros"), "before", F.when(F.col("action") != "delete", F.col("after")).alias("after"))
+    count = lambda kind, name: F.count_if(F.col("action") == kind).alias(name)
+    told = plan.agg(F.to_json(F.struct(count("create", "created"), count("update", "updated"), count("delete", "deleted"))).alias("after"))
+    aim = F.to_json(F.struct(F.lit(micros).alias("target_micros")))
+    return each.unionByName(told.select(F.lit("rollback").alias("op_type"), F.lit("__system").alias("key"), F.lit(at).cast("long").alias("micros"), aim.alias("before"), "after"))
+
+
 def apply_plan(current: DataFrame, plan: DataFrame) -> DataFrame:
     """(key, value) after a rollback plan."""
     changed = plan.where("action <> 'delete'").select("key", F.col("after").alias("value"))
     return current.select("key", "value").join(plan, "key", "left_anti").unionByName(changed)
 
 
-def verify_keys(memories: DataFrame, log: DataFrame, keys: DataFrame, limit: int = 20) -> DataFrame:
-    """Per wanted key: whether it exists, its value, and its last changes (ids, newest first)."""
+def verify_keys(memories: DataFrame, log: DataFrame, keys: DataFrame, limit: int = 20, chained: DataFrame | None = None, by: str = "chain_id") -> DataFrame:
+    """Per wanted key: whether it exists, its value, and its last changes (ids, newest first).
+
+    With ``chained`` (the log with its hashes) also the rules that the entry
+    breaks, none for a key that does not exist, and whether all chains are whole.
+    """
     last = history(log, limit, keys).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("changes"))
-    found = memories.select("key", "value", F.lit(True).alias("exists"))
+    rules = {"failed_rules": failed_rules()} if chained is not None else {}
+    found = memories.withColumns(rules).select("key", "value", F.lit(True).alias("exists"), *rules)
     out = keys.join(found, "key", "left").join(last, "key", "left")
-    return out.select("key", F.coalesce("exists", F.lit(False)).alias("exists"), "value", F.coalesce("changes", F.array().cast("array<bigint>")).alias("changes"))
+    shown = ["key", F.coalesce("exists", F.lit(False)).alias("exists"), "value", F.coalesce("changes", F.array().cast("array<bigint>")).alias("changes")]
+    if chained is None:
+        return out.select(*shown)
+    whole = verify_chain(chained, by).agg(F.coalesce(F.bool_and("valid"), F.lit(True)).alias("integrity_valid"))  # one row
+    return out.crossJoin(F.broadcast(whole)).select(*shown, F.coalesce("failed_rules", F.array().cast("array<string>")).alias("failed_rules"), "integrity_valid")

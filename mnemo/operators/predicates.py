@@ -97,17 +97,45 @@ def verify_transition(before: DataFrame, after: DataFrame) -> DataFrame:
     return after.where("not is_verified").select("key").join(was, "key", "left_semi")
 
 
+def transition_report(before: DataFrame, after: DataFrame, by: str, custom: dict[str, Column] | None = None) -> DataFrame:
+    """(by, valid, lost, failed_rules) for every group of ``after``: verified keys that are no longer, and the rules that its entries break.
+
+    ``failed_rules`` is empty where keys were lost, as the loss is then the reason.
+    """
+    was = before.where("is_verified").select(by, "key").distinct()
+    lost = after.where("not is_verified").select(by, "key").distinct().join(was, [by, "key"], "left_semi").groupBy(by).agg(F.count("*").alias("lost"))
+    broken = check_invariants(after, by, custom).groupBy(by).agg(F.array_sort(F.collect_list(F.when(~F.col("valid"), F.col("rule")))).alias("failed_rules"))
+    out = broken.join(lost, by, "left").withColumn("lost", F.coalesce("lost", F.lit(0)))
+    rules = F.when(F.col("lost") > 0, F.array().cast("array<string>")).otherwise(F.col("failed_rules"))
+    return out.select(by, ((F.col("lost") == 0) & (F.size("failed_rules") == 0)).alias("valid"), "lost", rules.alias("failed_rules"))
+
+
 def verification_gate(entries: DataFrame, beliefs: DataFrame, now: float, least: float = 0.3) -> DataFrame:
-    """``entries`` with status and confidence: STALE, CONFLICT, LOW_CONFIDENCE or PASS, in this order."""
+    """``entries`` with status, confidence and reason: STALE, CONFLICT, LOW_CONFIDENCE or PASS, in this order.
+
+    An entry is in conflict with another value of its key, and with a held key
+    that its column ``conflicts_with`` names, if it has one.
+    """
     held = beliefs.select("key", F.col("value").alias("_held"))
-    out = entries.join(held, "key", "left")
+    out = entries.join(held, "key", "left").withColumn("_named", F.lit(None).cast("string"))
+    if "conflicts_with" in entries.columns:
+        named = beliefs.select(F.col("key").alias("_named")).distinct()
+        out = out.drop("_named").join(named, F.col("conflicts_with") == F.col("_named"), "left")
     old = (F.col("ttl") > 0) & (F.lit(now) - F.col("created_at") > F.col("ttl"))
     gone = F.coalesce((F.col("invalid_at") > 0) & (F.col("invalid_at") < now), F.lit(False)) | F.coalesce(old, F.lit(False))
     weak = F.col("current_strength") < least
-    conflict = F.col("_held").isNotNull() & ~F.col("_held").eqNullSafe(F.col("value"))
+    differs = F.col("_held").isNotNull() & ~F.col("_held").eqNullSafe(F.col("value"))
+    conflict = differs | F.col("_named").isNotNull()
     status = F.when(gone | weak, "STALE").when(conflict, "CONFLICT").when(F.col("verification_score") < least, "LOW_CONFIDENCE").otherwise("PASS")
     confidence = F.when(gone, 0.0).when(weak, F.col("current_strength")).when(conflict, 0.0).otherwise(F.col("verification_score"))
-    return out.withColumns({"status": status, "confidence": confidence}).drop("_held")
+    keys = F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(F.when(differs, F.col("key")), F.col("_named"))))), ", ")
+    reason = (
+        F.when(gone, "no longer valid")
+        .when(weak, "too weak")
+        .when(conflict, F.concat(F.lit("conflicts with "), keys))
+        .when(F.col("verification_score") < least, "verified too little")
+    )
+    return out.withColumns({"status": status, "confidence": confidence, "reason": reason}).drop("_held", "_named")
 
 
 def recall_status(now: float, intent: Column, relevance: Column | None = None, least: float = 0.3) -> Column:
@@ -122,16 +150,20 @@ def integrity_hash() -> Column:
     return F.left(F.sha2(F.concat_ws(":", "key", "value", "memory_type"), 256), F.lit(16))
 
 
-def apply_verification(entries: DataFrame) -> DataFrame:
-    """Rows that break no rule become verified (0.8, ``state_verifier``); others list the rules; a null value is left alone."""
-    failed = F.array_compact(
+def failed_rules() -> Column:
+    """The rules that an entry breaks by itself."""
+    return F.array_compact(
         F.array(
             F.when(F.col("key").isNull() | (F.col("key") == ""), "KEY_VALIDITY"),
             F.when(F.coalesce(F.least("importance", "current_strength", "verification_score") < 0, F.lit(False)), "NON_NEGATIVITY"),
-            F.when(F.try_parse_json("value").isNull(), "TYPE_SAFETY"),
+            F.when(F.col("value").isNotNull() & F.try_parse_json("value").isNull(), "TYPE_SAFETY"),
         )
     )
-    out = entries.withColumn("failed_rules", F.when(F.col("value").isNull(), F.array().cast("array<string>")).otherwise(failed))
+
+
+def apply_verification(entries: DataFrame) -> DataFrame:
+    """Rows that break no rule become verified (0.8, ``state_verifier``); others list the rules; a null value is left alone."""
+    out = entries.withColumn("failed_rules", F.when(F.col("value").isNull(), F.array().cast("array<string>")).otherwise(failed_rules()))
     good = F.col("value").isNotNull() & (F.size("failed_rules") == 0)
     return out.withColumns(
         {

@@ -44,6 +44,19 @@ def _accepts(strategy: str, old: dict, new: dict) -> bool:
     return least(new["importance"], old["importance"])
 
 
+def decide(strategy: str, old: dict | None, x: dict) -> tuple[str, dict]:
+    """What becomes of proposal ``x`` (FIELDS) against the held belief, and the belief then (with entrenchment and revisions)."""
+    own = None if x["importance"] is None else max(0.0, min(1.0, x["importance"]))
+    if old is None:
+        return "new", x | {"entrenchment": own, "revisions": 0}
+    if old["value"] == x["value"]:
+        return "same", old
+    if not _accepts(strategy, old, x):
+        return "rejected", old
+    known = [e for e in (old["entrenchment"], own) if e is not None]
+    return "accepted", x | {"entrenchment": max(known, default=None), "revisions": old["revisions"] + 1}
+
+
 def _replay(strategy: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, old = object(), None
@@ -52,16 +65,7 @@ def _replay(strategy: str):
             for x in batch.to_pylist():
                 if x["key"] != key:
                     key, old = x["key"], None
-                own = None if x["importance"] is None else max(0.0, min(1.0, x["importance"]))
-                if old is None:
-                    decision, old = "new", x | {"entrenchment": own, "revisions": 0}
-                elif old["value"] == x["value"]:
-                    decision = "same"
-                elif _accepts(strategy, old, x):
-                    known = [e for e in (old["entrenchment"], own) if e is not None]
-                    decision, old = "accepted", x | {"entrenchment": max(known, default=None), "revisions": old["revisions"] + 1}
-                else:
-                    decision = "rejected"
+                decision, old = decide(strategy, old, x)
                 decisions.append(decision)
                 entrenchment.append(old["entrenchment"])
                 revisions.append(old["revisions"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mnemo.functions import strength as S
 from mnemo.functions import text as X
+from mnemo.functions.hooks import overlap_score
 from mnemo.sources.durable import durable
 
 K1, B = 1.5, 0.75
@@ -180,11 +181,13 @@ def rerank_decay(results: DataFrame, queries: DataFrame, memories: DataFrame, no
     return rank_by(out, [F.desc("score"), F.col("key")], k)
 
 
-def rerank_overlap(candidates: DataFrame) -> DataFrame:
-    """(query_id, key, query, value, score): .6 score + .4 share of the query's words that the text has."""
-    words = lambda c: F.array_distinct(F.split(F.lower(F.trim(c)), r"\s+"))
-    share = F.size(F.array_intersect(words("query"), words("value"))) / F.greatest(F.size(words("query")), F.lit(1))
-    out = candidates.withColumn("score", F.round(0.6 * F.col("score") + 0.4 * share, 6))
+def rerank_overlap(candidates: DataFrame, reranker: Callable[[Column, Column], Column] = overlap_score) -> DataFrame:
+    """(query_id, key, query, value, score): .6 score + .4 of the reranker's judgment of (query, value).
+
+    The default judges by the share of the query's words that the text has; a
+    caller's own may be any column function, a pandas UDF for a model.
+    """
+    out = candidates.withColumn("score", F.round(0.6 * F.col("score") + 0.4 * reranker(F.col("query"), F.col("value")), 6))
     return rank_by(out, [F.desc("score"), F.col("key")])
 
 
@@ -218,6 +221,14 @@ def lexical_rank(queries: DataFrame, memories: DataFrame, k: int | None = None)
     return rank_by(out, [F.desc("score"), F.col("key")], k)
 
 
+def query_analysis(queries: DataFrame) -> DataFrame:
+    """(query_id, tokens, expanded, entities, token_count); entities are in order of name."""
+    tokens = X.query_tokens(F.col("query"))
+    return queries.select(
+        "query_id", tokens.alias("tokens"), X.expand_abbreviations(F.col("query")).alias("expanded"), F.array_sort(X.entities(F.col("query"))).alias("entities"), F.size(tokens).alias("token_count")
+    )
+
+
 def recall_intelligent(queries: DataFrame, memories: DataFrame, hybrid: DataFrame, boosts: DataFrame, k: int) -> DataFrame:
     """Lexical (.4), hybrid (.4) and entity (.2) rankings fused, plus a quarter of the entity boost, with their parts."""
     deep = max(3 * k, 10)

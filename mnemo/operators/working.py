@@ -32,23 +32,51 @@ def working_set(entries: DataFrame, now: float, slots: int = 8, by: str = "sessi
     return out.withColumn("memory_type", F.when(F.col("stays"), F.col("memory_type")).otherwise("semantic"))
 
 
-def replay_session(puts: pd.DataFrame, slots: int) -> pd.DataFrame:
-    """Puts of one session in order; when slots are full the entry of least importance per second since its put leaves."""
-    held: dict[str, tuple[float, float]] = {}
+#: A held entry: importance, when it was last put or used, its heat and when that was taken.
+Entry = tuple[float, float, float, float]
+PUT_COLUMNS = ("session_id", "seq", "key", "importance", "created_at", "heat", "used")
+
+
+def as_puts(events: DataFrame) -> DataFrame:
+    """``events`` in the columns of a replay; without ``heat`` entries come cold, without ``used`` every row is a put."""
+    for name, default in (("heat", F.lit(0.0)), ("used", F.lit(False))):
+        events = events if name in events.columns else events.withColumn(name, default)
+    return events.select(*PUT_COLUMNS)
+
+
+def step(held: dict[str, Entry], key: str, importance: float, at: float, heat: float, used: bool, slots: int) -> str | None:
+    """Put an entry, or use a held one, at a time; returns the key that had to leave.
+
+    A use of an entry that is not held changes nothing.  The entry of least
+    importance per second since its last use, plus a quarter of its heat, leaves.
+    """
+    cooled = lambda e: max(0.0, min(1.0, e[2] * COOLING ** (max(0.0, at - e[3]) / 3600)))
+    if used:
+        if key in held:
+            e = held[key]
+            held[key] = (e[0], at, min(1.0, cooled(e) + GAIN * max(0.1, e[0])), at)
+        return None
+    gone = None
+    if key not in held and len(held) >= slots:
+        gone = min(held, key=lambda k: (held[k][0] / max(1.0, at - held[k][1]) + 0.25 * cooled(held[k]), k))
+        del held[gone]
+    held[key] = (importance, at, max(0.0, min(1.0, heat)), at)
+    return gone
+
+
+def replay_rows(rows: pd.DataFrame, held: dict[str, Entry], session: str | None, slots: int) -> pd.DataFrame:
+    """The rows of one session in order of ``seq``; ``held`` is what it holds before, and after."""
     out = []
-    for r in puts.sort_values("seq").itertuples():
-        gone = None
-        if r.key not in held and len(held) >= slots:
-            gone = min(held, key=lambda k: (held[k][0] / max(1.0, r.created_at - held[k][1]), k))
-            del held[gone]
-        held[r.key] = (r.importance, r.created_at)
-        out.append((r.session_id, r.seq, r.key, gone, len(held)))
+    for r in rows.sort_values("seq").itertuples():
+        gone = step(held, r.key, r.importance, r.created_at, r.heat, r.used, slots)
+        out.append((session, r.seq, r.key, gone, len(held)))
     return pd.DataFrame(out, columns=["session_id", "seq", "key", "evicted", "held"])
 
 
-def replay_working_memory(puts: DataFrame, slots: int = 8) -> DataFrame:
-    """(session_id, seq, key, evicted, held) for each put; sessions are independent and hold ``slots`` entries at most."""
-    return puts.select("session_id", "seq", "key", "importance", "created_at").groupBy("session_id").applyInPandas(lambda p: replay_session(p, slots), "session_id string, seq long, key string, evicted string, held int")
+def replay_working_memory(events: DataFrame, slots: int = 8) -> DataFrame:
+    """(session_id, seq, key, evicted, held) for each put or use; sessions are independent and hold ``slots`` entries at most."""
+    run = lambda key, rows: replay_rows(rows, {}, key[0], slots)
+    return as_puts(events).groupBy("session_id").applyInPandas(run, "session_id string, seq long, key string, evicted string, held int")
 
 
 def gate_to_episodic(entries: DataFrame) -> DataFrame:

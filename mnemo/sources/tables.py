@@ -63,12 +63,15 @@ def export_memories(memories: DataFrame, path: str, fmt: str = "json", limit: in
     out.json(path) if fmt == "json" else out.option("header", True).option("escape", '"').csv(path)
 
 
-def export_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-    edges.write.mode("overwrite").parquet(f"{path}/edges")
+def export_graph(nodes: DataFrame, edges: DataFrame, path: str, stats: DataFrame | None = None) -> None:
+    """Nodes, edges and, if given, their stats (``graph.graph_stats``) in folders of ``path``."""
+    for name, df in (("nodes", nodes), ("edges", edges), ("stats", stats)):
+        if df is not None:
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def import_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges); ``graph.rebuild_index`` gives the index of entities that belongs to them."""
     return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
 
 

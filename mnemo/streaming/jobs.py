@@ -1,7 +1,9 @@
 """Continuous forms of the jobs, over a stream of commits or accesses.
 
 Each has a batch twin; run with ``trigger(availableNow=True)`` both give the
-same rows.  State is keyed and bounded by watermarks, timers or slots.
+same rows.  State is keyed.  Watermarks, timers or slots bound it, but for
+``stream_revise`` and, without ``late``, ``stream_newest_wins``, which keep one
+row for each key, and the sessions of ``stream_working_memory``.
 """
 
 from __future__ import annotations
@@ -13,7 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from mnemo.operators.revise import FIELDS, decide
 from mnemo.operators.upsert import commit_log, upsert
+from mnemo.operators.working import as_puts, replay_rows
 
 DAY_US = 86_400_000_000
 
@@ -41,28 +45,35 @@ def stream_upsert(commits: DataFrame, store: str, log: str, checkpoint: str, now
     return commits.writeStream.foreachBatch(upsert_writer(store, log, now)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _revise(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    value, importance, entrenchment = state.get if state.exists else (None, None, None)
-    rows = pd.concat(list(batches)).sort_values("seq")
-    out = []
-    for r in rows.itertuples():
-        own = max(0.0, min(1.0, r.importance))
-        if entrenchment is None:
-            decision, value, importance, entrenchment = "new", r.value, r.importance, own
-        elif r.value == value:
-            decision = "same"
-        elif r.importance >= entrenchment:
-            decision, value, importance, entrenchment = "accepted", r.value, r.importance, max(entrenchment, own)
-        else:
-            decision = "rejected"
-        out.append((key[0], r.seq, decision))
-    state.update((value, importance, entrenchment))
-    yield pd.DataFrame(out, columns=["key", "seq", "decision"])
+def _revise(strategy: str) -> Callable:
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        old = dict(zip(BELIEF, state.get, strict=True)) if state.exists else None
+        rows = pd.concat(list(batches)).sort_values("seq")
+        rows = rows.astype(object).where(rows.notna(), None)
+        out = []
+        for x in rows.to_dict("records"):
+            decision, old = decide(strategy, old, x)
+            out.append((key[0], x["seq"], decision))
+        state.update(tuple(old[c] for c in BELIEF))
+        yield pd.DataFrame(out, columns=["key", "seq", "decision"])
+
+    return run
+
+
+BELIEF = (*FIELDS, "entrenchment", "revisions")
+
 
+def stream_revise(proposals: DataFrame, strategy: str = "entrenchment") -> DataFrame:
+    """(key, seq, decision) as proposals arrive; in order of ``seq`` within a batch, batches in order of arrival.
 
-def stream_revise(proposals: DataFrame) -> DataFrame:
-    """(key, seq, decision) by entrenchment as proposals arrive; in order of ``seq`` within a batch."""
-    return proposals.groupBy("key").applyInPandasWithState(_revise, "key string, seq long, decision string", "value string, importance double, entrenchment double", "append", GroupStateTimeout.NoTimeout)
+    State is one belief a key and never leaves: a belief holds until it is revised.
+    Columns that the strategy does not need may be missing.
+    """
+    for name, kind in (("created_at", "double"), ("is_verified", "boolean")):
+        proposals = proposals if name in proposals.columns else proposals.withColumn(name, F.lit(None).cast(kind))
+    kinds = {f.name: f.dataType.simpleString() for f in proposals.schema}
+    held = ", ".join(f"{c} {kinds[c]}" for c in FIELDS) + ", entrenchment double, revisions int"
+    return proposals.select("key", *FIELDS).groupBy("key").applyInPandasWithState(_revise(strategy), "key string, seq long, decision string", held, "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_op_metrics(commits: DataFrame, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
@@ -109,41 +120,55 @@ def stream_expiry(entries: DataFrame, late: str = "1 hour", default_ttl: float =
     return rows.groupBy("key").applyInPandasWithState(_expire, "key string, ends_ms long", "ends long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def _newest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    at, seq, value = state.get if state.exists else (float("-inf"), -1, None)
-    for b in batches:
-        for r in b.itertuples():
-            if (r.created_at, -r.seq) > (at, -seq):
-                at, seq, value = r.created_at, r.seq, r.value
-    state.update((at, seq, value))
-    yield pd.DataFrame([(key[0], at, seq, value)], columns=["key", "created_at", "seq", "value"])
+def _newest(timed: bool) -> Callable:
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        at, seq, value, stale = state.get if state.exists else (float("-inf"), -1, None, 0)
+        for b in batches:
+            for r in b.itertuples():
+                if (r.created_at, -r.seq) > (at, -seq):
+                    at, seq, value = r.created_at, r.seq, r.value
+                else:
+                    stale += 1
+        state.update((at, seq, value, stale))
+        if timed:
+            state.setTimeoutTimestamp(max(int(at * 1000), state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame([(key[0], at, seq, value, stale)], columns=["key", "created_at", "seq", "value", "stale"])
+
+    return run
+
 
+def stream_newest_wins(commits: DataFrame, late: str | None = None) -> DataFrame:
+    """The newest commit of each key, and how many rows came that changed nothing; order of arrival does not matter.
 
-def stream_newest_wins(commits: DataFrame) -> DataFrame:
-    """The newest commit of each key; copies and late rows change nothing, so order of arrival does not matter."""
-    return commits.groupBy("key").applyInPandasWithState(_newest, "key string, created_at double, seq long, value string", "created_at double, seq long, value string", "update", GroupStateTimeout.NoTimeout)
+    With ``late`` (commits need ``ts``) a key's state leaves once the watermark
+    has passed its commit.  Rows behind the watermark are dropped before, so
+    whatever comes for the key then is newer; Spark counts the dropped ones
+    (``numRowsDroppedByWatermark``).  Without it every key is kept.
+    """
+    columns, timeout = ["key", "created_at", "seq", "value"], GroupStateTimeout.NoTimeout
+    if late:
+        commits, columns, timeout = commits.withWatermark("ts", late), [*columns, "ts"], GroupStateTimeout.EventTimeTimeout
+    out, held = "key string, created_at double, seq long, value string, stale long", "created_at double, seq long, value string, stale long"
+    return commits.select(*columns).groupBy("key").applyInPandasWithState(_newest(bool(late)), out, held, "update", timeout)
 
 
 def _slots(slots: int) -> Callable:
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = dict(zip(state.get[0], zip(state.get[1], state.get[2], strict=True), strict=True)) if state.exists else {}
-        out = []
-        for r in pd.concat(list(batches)).sort_values("seq").itertuples():
-            gone = None
-            if r.key not in held and len(held) >= slots:
-                gone = min(held, key=lambda k: (held[k][0] / max(1.0, r.created_at - held[k][1]), k))
-                del held[gone]
-            held[r.key] = (r.importance, r.created_at)
-            out.append((key[0], r.seq, r.key, gone, len(held)))
-        state.update((list(held), [v[0] for v in held.values()], [v[1] for v in held.values()]))
-        yield pd.DataFrame(out, columns=["session_id", "seq", "key", "evicted", "held"])
+        held = dict(zip(state.get[0], zip(*state.get[1:], strict=True), strict=True)) if state.exists else {}
+        out = replay_rows(pd.concat(list(batches)), held, key[0], slots)
+        state.update((list(held), *[[e[i] for e in held.values()] for i in range(4)]))
+        yield out
 
     return run
 
 
-def stream_working_memory(puts: DataFrame, slots: int = 8) -> DataFrame:
-    """Put and eviction history of each session; its state is at most ``slots`` entries."""
-    return puts.groupBy("session_id").applyInPandasWithState(_slots(slots), "session_id string, seq long, key string, evicted string, held int", "keys array<string>, importance array<double>, at array<double>", "append", GroupStateTimeout.NoTimeout)
+def stream_working_memory(events: DataFrame, slots: int = 8) -> DataFrame:
+    """Put, use and eviction history of each session; its state is at most ``slots`` entries with their heat."""
+    held = "keys array<string>, importance array<double>, at array<double>, heat array<double>, heat_at array<double>"
+    return as_puts(events).groupBy("session_id").applyInPandasWithState(_slots(slots), "session_id string, seq long, key string, evicted string, held int", held, "append", GroupStateTimeout.NoTimeout)
 
 
 def consolidate_with(callback: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
