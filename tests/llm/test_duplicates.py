@@ -181,3 +181,13 @@ def test_sorted_strings_and_deceived_hashes(monkeypatch):
     check()
     monkeypatch.setattr(repeats.Hashes, "of", lambda self, a, b: (b - a).astype(np.uint64))
     check()
+
+
+def test_shared_shingles_of_short_and_long_texts():
+    """However a task holds them, two texts have the same shingles in common."""
+    from mnemo.llm.shingles import shared
+
+    p, q = np.arange(0, 90, 2, dtype=np.uint64) + np.uint64(1 << 63), np.arange(0, 90, 3, dtype=np.uint64) + np.uint64(1 << 63)
+    kept = [frozenset(x.tolist()) for x in (p, q)]
+    assert {shared(a, b) for a in (p, kept[0]) for b in (q, kept[1])} == {15}
+    assert shared(frozenset(), q) == 0 and shared(p[:0], kept[1]) == 0
