@@ -119,6 +119,42 @@ def test_pipeline_near_copies_are_those_of_all_pairs(spark, words):
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == sorted(expected)
 
 
+def test_texts_around_one_passage_are_paired_by_rare_shingles(spark, words, monkeypatch):
+    """Many texts share a passage and half of their shingles; those more alike are linked as all pairs say, without all pairs."""
+    rng = random.Random(13)
+    passage, texts = words(60), []
+    for i in range(160):
+        texts.append(passage + " " + words(rng.randint(12, 50)))
+        if i % 4 == 0:
+            more = texts[-1].split()
+            more[rng.randrange(len(more))] = "other"
+            texts.append(" ".join(more) + " " + words(rng.randint(0, 9)))
+    pairs, want = similar(texts, 0.8)
+    asked = []
+    whole = shingles.sharing_rare
+
+    def noted(rows, least):
+        asked.append((rows.count(), whole(rows, least)))
+        return asked[-1][1]
+
+    monkeypatch.setattr(shingles, "sharing_rare", noted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = {}
+    for r in shingles.near_duplicates(df).collect():
+        groups.setdefault(r.component, set()).add(r.doc_id)
+    expected = {}
+    for i, c in enumerate(want):
+        expected.setdefault(c, set()).add(i)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+    ((n, found),) = asked
+    assert n > 100 and found.dropDuplicates(["u", "v"]).count() < n * n / 20
+
+    ids = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "set long, component long, t string")
+    alone = ids.withColumn("size", F.size(shingles.shingled(F.col("t"))).cast("long"))
+    got = {(min(r.u, r.v), max(r.u, r.v)) for r in whole(alone, 0.8).collect()}
+    assert {(min(p), max(p)) for p in pairs} <= got
+
+
 def test_pipeline_near_copies_of_odd_rows(spark, odd):
     assert shingles.near_duplicates(odd).count() == 9 and shingles.near_duplicates(odd.limit(0)).count() == 0
     out = shingles.one_of_each(odd)
