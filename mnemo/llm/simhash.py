@@ -136,9 +136,9 @@ def first_of_each(docs: DataFrame, marked: DataFrame, by: str, text: str = "text
     doc_id, which no group of copies makes uneven.
     """
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
-    kept = marked.groupBy(by).agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
-    hashed = docs.withColumn("_hash2", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    found = hashed.join(kept, hashed["doc_id"].eqNullSafe(kept["_id"]) & (hashed["_hash2"] == kept["_hash"]))
-    # rows that agree in both are one document more than once
-    once = Window.partitionBy("doc_id", "_hash2").orderBy(F.lit(1))
-    return found.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    ids = lambda doc_id, text_hash: {"_first_id": F.coalesce(doc_id.cast("string"), F.lit("")), "_first_none": doc_id.isNull(), "_first_hash": text_hash}
+    kept = marked.groupBy(by).agg(F.min(order).alias("k")).select(*[c.alias(n) for n, c in ids(F.col("k.doc_id"), F.col("k.text_hash")).items()])
+    found = docs.withColumns(ids(F.col("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))))).join(kept, ["_first_id", "_first_none", "_first_hash"])
+    # rows that agree in these are one document more than once; they lie together after the join, so the texts move once
+    once = Window.partitionBy("_first_id", "_first_none", "_first_hash").orderBy(F.lit(1))
+    return found.withColumn("_first_nth", F.row_number().over(once)).where("_first_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
