@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemo.llm import licenses, media, mixing, pieces, pii, quality, repeats, simhash, tokens, urls
+from mnemo.llm import licenses, media, mixing, pieces, pii, quality, ranking, repeats, sharding, simhash, tokens, urls, whitening
 from mnemo.llm.common import table
 
 
@@ -56,5 +56,19 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_sentencepiece, op3_token_counts, op4_quality_rules, op5_simhash, op6_license_scan, op7_repeated_passages, op8_media_columns, op9_pii_surrogates, op10_url_filters)}
-ORACLES: dict[str, str] = {}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.sharded(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return out.withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+_ALL = (op1_mix_sources, op2_sentencepiece, op3_token_counts, op4_quality_rules, op5_simhash, op6_license_scan, op7_repeated_passages, op8_media_columns, op9_pii_surrogates, op10_url_filters, op11_embedding_whitening, op12_lexical_search, op13_sharding)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLES: dict[str, str] = {"op12_lexical_search": ranking.ORACLE}
