@@ -30,6 +30,8 @@ from mnemo.sources.durable import durable
 BLOCK = 8_192
 #: Steps of the integer grid in a unit.
 GRID = 256
+#: Sums are added up in two parts, each of which fits a decimal.
+HALF = 1 << 64
 #: Eigenvalues up to this share of the trace, for each dimension, are rounding.
 NOTHING = 2.0**-50
 
@@ -107,7 +109,8 @@ def _scatter(wide: int):
         i, j = np.triu_indices(wide)
         rows = [(-1, -1, n), *((-1, k, s) for k, s in enumerate(sums)), *zip(i.tolist(), j.tolist(), cross[i, j], strict=True)]
         a, b, v = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array([Decimal(int(x)) for x in v], pa.decimal128(38, 0))], ["i", "j", "v"])
+        high, low = (pa.array([Decimal(x) for x in part], pa.decimal128(38, 0)) for part in zip(*(divmod(int(x), HALF) for x in v), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), high, low], ["i", "j", "high", "low"])
 
     return run
 
@@ -128,15 +131,16 @@ class Fit:
 
 def fit(vectors: DataFrame, wide: int) -> Fit:
     """``vectors`` has one column, an array of ``wide`` integers without nulls; each row counts once."""
-    tasks = vectors.mapInArrow(_scatter(wide), "i int, j int, v decimal(38,0)")
+    tasks = vectors.mapInArrow(_scatter(wide), "i int, j int, high decimal(38,0), low decimal(38,0)")
     n, sums, cross = 0, [0] * wide, np.zeros((wide, wide), object)
-    for i, j, v in tasks.groupBy("i", "j").agg(F.sum("v").alias("v")).collect():  # as many rows as pairs of dimensions
+    for i, j, high, low in tasks.groupBy("i", "j").agg(F.sum("high"), F.sum("low")).collect():  # as many rows as pairs of dimensions
+        v = int(high) * HALF + int(low)
         if i >= 0:
-            cross[i, j] = cross[j, i] = int(v)
+            cross[i, j] = cross[j, i] = v
         elif j >= 0:
-            sums[j] = int(v)
+            sums[j] = v
         else:
-            n = int(v)
+            n = v
     s = np.array(sums, object)
     centred = n * cross - s[:, None] * s[None, :]
     square = max(1, n * n)
