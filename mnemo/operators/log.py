@@ -11,10 +11,11 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemo.operators.predicates import failed_rules
+from mnemo.sources.durable import durable, written
 
 GENESIS = "0" * 64
 WRITES, DELETES = ("create", "update", "consolidate"), ("delete", "forget")
@@ -30,16 +31,25 @@ def linked(previous: Column, own: Column) -> Column:
     return F.sha2(F.concat_ws(":", previous, own), 256)
 
 
-def build_chain(log: DataFrame, by: str = "chain_id") -> DataFrame:
+def build_chain(log: DataFrame, by: str = "chain_id", heads: DataFrame | None = None) -> DataFrame:
     """``log`` with data_hash, prev_root and root_hash, one chain for each value of ``by``.
 
-    Row hashes are made where the rows are.  A chain can only be folded in
-    order: its rows are sorted in one task, which may spill, and pass through in
-    batches with the last root alone held.  Chains should be many (agent, key
-    or day); ``root_of_roots`` joins them.
+    With ``heads`` (``by``, id, root_hash; see ``chain_heads``) chains go on
+    where they ended, and rows at or before a head, which are in them already,
+    are left out.  Row hashes are made where the rows are.  A chain can only be
+    folded in order: its rows are sorted in one task, which may spill, and pass
+    through in batches with the last root alone held.  Chains should be many
+    (agent, key or day); ``root_of_roots`` joins them.
     """
     hashed = log.withColumn("data_hash", row_hash())
-    rows = hashed.select(by, "id", "data_hash").repartition(by).sortWithinPartitions(by, "id")
+    if heads is None:
+        rows = hashed.select(by, "id", "data_hash", F.lit(GENESIS).alias("head"))
+    else:
+        ends = heads.select(by, F.col("id").alias("_end"), F.col("root_hash").alias("_head"))
+        hashed = hashed.join(ends, by, "left").where("_end is null or id > _end")
+        rows = hashed.select(by, "id", "data_hash", F.coalesce("_head", F.lit(GENESIS)).alias("head"))
+        hashed = hashed.drop("_end", "_head")
+    rows = rows.repartition(by).sortWithinPartitions(by, "id")
     kinds = {f.name: f.dataType.simpleString() for f in hashed.schema}
     roots = rows.mapInArrow(_fold, f"`{by}` {kinds[by]}, id {kinds['id']}, prev_root string, root_hash string")
     return hashed.join(roots, [by, "id"])
@@ -49,15 +59,45 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     chain, root = object(), GENESIS
     for batch in batches:
         before, after = [], []
-        for c, own in zip(batch[0].to_pylist(), batch["data_hash"].to_pylist(), strict=True):
+        for c, own, head in zip(batch[0].to_pylist(), batch["data_hash"].to_pylist(), batch["head"].to_pylist(), strict=True):
             if c != chain:
-                chain, root = c, GENESIS
+                chain, root = c, head
             before.append(root)
             root = hashlib.sha256(f"{root}:{own}".encode()).hexdigest()
             after.append(root)
         yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(before, pa.string()), pa.array(after, pa.string())], [*batch.schema.names[:2], "prev_root", "root_hash"])
 
 
+def chain_heads(chained: DataFrame, by: str = "chain_id") -> DataFrame:
+    """(by, id, root_hash): where each chain ends; combined before rows move."""
+    return chained.groupBy(by).agg(F.max(F.struct("id", "root_hash")).alias("h")).select(by, "h.id", "h.root_hash")
+
+
+def append_chain(log: DataFrame, path: str, batch: int, by: str = "chain_id") -> None:
+    """Adds ``log`` to the chains stored at ``path`` as a batch, with the heads after it.
+
+    ``heads`` of a batch are written last, as one table of all chains, and read
+    by the next one.  A batch whose heads are there is left alone; one that was
+    cut short is written anew, from the heads before it.
+    """
+    spark = log.sparkSession
+    done = written(spark, f"{path}/heads")
+    if batch in done:
+        return
+    earlier = [b for b in done if b < batch]
+    heads = spark.read.parquet(f"{path}/heads/batch={max(earlier)}") if earlier else None
+    build_chain(log, by, heads).write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+    ends = chain_heads(spark.read.parquet(f"{path}/rows/batch={batch}"), by)
+    if heads is not None:
+        ends = ends.unionByName(heads.join(ends.select(by), by, "left_anti"))
+    ends.write.mode("overwrite").parquet(f"{path}/heads/batch={batch}")
+
+
+def stored_chain(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of the chains at ``path``, of whole batches."""
+    return spark.read.parquet(*[f"{path}/rows/batch={b}" for b in written(spark, f"{path}/heads")])
+
+
 def root_of_roots(chained: DataFrame, by: str = "chain_id") -> DataFrame:
     """One hash over all chains: their last roots, chained in order of ``by``; one row per chain is folded."""
     last = chained.groupBy(by).agg(F.max_by("root_hash", "id").alias("root"))
@@ -104,19 +144,46 @@ def state_at(log: DataFrame, micros: int | Column) -> DataFrame:
 def states_at(log: DataFrame, times: DataFrame) -> DataFrame:
     """(micros, key, value) for every time of ``times`` (micros): each change holds until its key's next one.
 
-    Only as many rows are made as there are answers: changes become intervals,
-    and a join finds the times that lie in them.
+    Changes become intervals.  Time is cut into blocks of halving length; an
+    interval is covered by at most two blocks of each length, and a time lies in
+    one of each, so they meet by equality.  But for its two ends a block holds
+    only answers: no more rows are made than there are answers and ends.
     """
     told = log.where(F.col("op_type").isin(*WRITES, *DELETES))
     by_id = Window.partitionBy("key").orderBy("id")
     # a change that a later id overtook in time never shows
     until = F.min("micros").over(by_id.rowsBetween(1, Window.unboundedFollowing))
     spans = told.select("key", "op_type", "after", F.col("micros").alias("since"), until.alias("until")).where(F.col("op_type").isin(*WRITES) & (F.col("until").isNull() | (F.col("until") > F.col("since"))))
-    t = times.select(F.col("micros").alias("at")).distinct()
-    found = spans.join(t, (F.col("at") >= F.col("since")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
+    t = durable(times.select(F.col("micros").cast("long").alias("at")).where("at is not null").distinct())
+    n, low, high = t.agg(F.count("*"), F.min("at"), F.max("at")).first()
+    low, high = low or 0, high or 0
+    finest = ((high - low) // max(1, n)).bit_length()  # about as long as times lie apart
+    levels = max(0, ((high - low) >> finest).bit_length() - WIDEST)
+    block = lambda c: F.call_function("shiftright", c - F.lit(low), F.lit(finest))
+    shown = spans.where((F.col("since") <= high) & (F.col("until").isNull() | (F.col("until") > low)))
+    last = F.least(F.coalesce(F.col("until"), F.lit(high + 1)), F.lit(high + 1)) - 1
+    cut = shown.select("key", "after", "since", "until", F.inline(blocks(block(F.greatest("since", F.lit(low))), block(last) + 1, levels)))
+    at = t.select("at", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")).withColumn("block", F.call_function("shiftright", block(F.col("at")), F.col("level")))
+    found = cut.join(at, ["level", "block"]).where((F.col("at") >= F.col("since")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
     return found.select(F.col("at").alias("micros"), "key", F.col("after").alias("value"))
 
 
+#: The longest blocks are so many halvings shorter than all time, so that none of them is one task's.
+WIDEST = 6
+
+
+def blocks(first: Column, end: Column, levels: int) -> Column:
+    """array<struct<level, block>>: the fewest blocks (of 2^level) of levels 0 to ``levels`` that make up [first, end)."""
+    start = lambda k: F.call_function("shiftright", first + F.lit((1 << k) - 1), F.lit(k))
+    stop = lambda k: F.call_function("shiftright", end, F.lit(k))
+    told = lambda k, b: F.struct(F.lit(k).alias("level"), b.alias("block"))
+    odd = lambda c: c.bitwiseAND(F.lit(1)) == 1
+    ends = [F.when((start(k) < stop(k)) & odd(x), told(k, b)) for k in range(levels) for x, b in ((start(k), start(k)), (stop(k), stop(k) - 1))]
+    inner = F.when(start(levels) < stop(levels), F.transform(F.sequence(start(levels), stop(levels) - 1), lambda b: told(levels, b)))
+    none = F.array().cast("array<struct<level:int,block:bigint>>")
+    return F.concat(F.filter(F.array(*ends), lambda x: x.isNotNull()) if ends else none, F.coalesce(inner, none))
+
+
 def diff(log: DataFrame, micros_a: int, micros_b: int) -> DataFrame:
     """(key, status, before, after) of keys that differ between two times."""
     a = state_at(log, micros_a).select("key", F.col("value").alias("before"), F.lit(True).alias("in_a"))

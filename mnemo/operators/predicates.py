@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemo.functions import strength as S
 from mnemo.operators.forgetting import top_per_group
+from mnemo.operators.order import global_rank
 
 PRIORITY = {"high": 0, "normal": 1, "low": 2}
 
@@ -51,7 +52,7 @@ def canonical_order(df: DataFrame, now: float, by: list[str] | None = None) -> D
     """``rank`` by contract: canonical, priority, verified, strength × importance, newest; expired rows are gone."""
     live = df.where(~S.is_stale(now))
     order = [F.desc("canonical"), S.by_value(F.col("priority"), PRIORITY, 1), F.desc("is_verified"), F.desc(F.col("current_strength") * F.col("importance")), F.desc("created_at"), F.col("key")]
-    return live.withColumn("rank", F.row_number().over(Window.partitionBy(*(by or [F.lit(1)])).orderBy(*order)))
+    return live.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))) if by else global_rank(live, order)
 
 
 def key_error(key: Column, value: Column) -> Column:

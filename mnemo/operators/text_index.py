@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from mnemo.functions import text as X
 from mnemo.functions.stem import porter, stem_tokens
 from mnemo.operators.search import holding, rank_by, small
-from mnemo.sources.durable import durable, job_dir
+from mnemo.sources.durable import durable, job_dir, written
 
 #: Folders of a batch.
 BUCKETS = 64
@@ -74,7 +74,7 @@ def append(docs: DataFrame, path: str, batch: int = 0, how: Analysis = PLAIN, te
     Keys must be new ones: a batch does not replace what others say of a key.
     """
     spark = docs.sparkSession
-    if batch in batches(spark, path):
+    if batch in written(spark, f"{path}/stats"):
         return
     rows = postings_of(docs, how, F.col("value") if text is None else text).withColumn("bucket", bucket(F.col("term")))
     spread = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")  # small buckets share a task, a frequent term's is dealt over several
@@ -84,15 +84,6 @@ def append(docs: DataFrame, path: str, batch: int = 0, how: Analysis = PLAIN, te
     docs.agg(F.count("*").alias("docs")).crossJoin(F.broadcast(lengths)).write.mode("overwrite").parquet(f"{path}/stats/batch={batch}")  # a row each
 
 
-def batches(spark: SparkSession, path: str) -> list[int]:
-    """The numbers of whole batches."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/stats")
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = fs.listStatus(root) if fs.exists(root) else []
-    done = lambda p: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
-    return sorted(int(f.getPath().getName().split("=")[1]) for f in found if done(f.getPath()))
-
-
 def scores(spark: SparkSession, path: str, queries: DataFrame, how: Analysis = PLAIN, tokens: Column | None = None) -> DataFrame:
     """(query_id, key, score) of documents that hold a term of a query (query_id, query); repeated terms of a query count as often.
 
@@ -104,7 +95,7 @@ def scores(spark: SparkSession, path: str, queries: DataFrame, how: Analysis = P
     terms = durable(asked.groupBy("query_id", "term").agg(F.count("*").alias("qf")))
     wanted = terms.select("term").distinct()
     folders = [r[0] for r in wanted.select(bucket(F.col("term")).alias("b")).distinct().collect()]
-    whole = batches(spark, path)
+    whole = written(spark, f"{path}/stats")
     if not folders or not whole:
         return queries.select("query_id").limit(0).selectExpr("query_id", "CAST(NULL AS STRING) AS key", "0.0D AS score")
     held = spark.read.option("basePath", f"{path}/postings").parquet(*[f"{path}/postings/batch={b}" for b in whole])

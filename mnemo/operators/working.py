@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,19 +14,80 @@ COOLING, GAIN = 0.95, 0.2
 
 
 def heat(accesses: DataFrame, now: float | None = None) -> DataFrame:
-    """(key, heat, at): accesses folded in order; cools by the hour, warms by importance, stays within 0 and 1."""
-    rows = F.array_sort(F.collect_list(F.struct("created_at", "seq", "importance")))
+    """(key, heat, at): accesses folded in order; cools by the hour, warms by importance, stays within 0 and 1.
+
+    An access is a map x -> clamp(a x + b, low, high) of the heat before it, and
+    such maps stay such maps when one follows the other.  So accesses are put in
+    ranges of key and time, each task folds its ranges to one map a key, and a
+    key's few maps are applied in order: no key is one task's.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in accesses.schema}
+    rows = accesses.select("key", F.col("created_at").cast("double").alias("created_at"), F.col("importance").cast("double").alias("importance"), "seq")
+    rows = rows.repartitionByRange("key", "created_at", "seq").sortWithinPartitions("key", "created_at", "seq", "importance")
+    rows = rows.select("key", "created_at", "importance", F.spark_partition_id().alias("part"))
+    maps = rows.mapInArrow(_folded_heat, f"key {kinds['key']}, part int, first double, last double, a double, b double, low double, high double")
     start = F.struct(F.lit(0.0).alias("h"), F.lit(None).cast("double").alias("t"))
 
-    def step(acc, x):
-        cooled = acc["h"] * F.pow(F.lit(COOLING), F.coalesce(x["created_at"] - acc["t"], F.lit(0.0)) / 3600)
-        return F.struct(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cooled + GAIN * F.greatest(F.lit(0.1), x["importance"]))).alias("h"), x["created_at"].alias("t"))
+    def then(acc, m):
+        cooled = acc["h"] * F.pow(F.lit(COOLING), F.coalesce(m["first"] - acc["t"], F.lit(0.0)) / 3600)
+        return F.struct(F.greatest(m["low"], F.least(m["high"], m["a"] * cooled + m["b"])).alias("h"), m["last"].alias("t"))
 
-    out = accesses.groupBy("key").agg(rows.alias("rows")).select("key", F.aggregate("rows", start, step).alias("r"))
+    parts = maps.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("part", "first", "last", "a", "b", "low", "high"))).alias("maps"))  # one of each task at most
+    out = parts.select("key", F.aggregate("maps", start, then).alias("r"))
     h = F.col("r.h") if now is None else F.col("r.h") * F.pow(F.lit(COOLING), (F.lit(now) - F.col("r.t")) / 3600)
     return out.select("key", h.alias("heat"), F.col("r.t").alias("at"))
 
 
+def _after(m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Maps (a, b, low, high) that apply ``m``, then ``n``; a is never negative."""
+    held = lambda x: np.clip(n[0] * x + n[1], n[2], n[3])
+    return np.stack([m[0] * n[0], n[0] * m[1] + n[1], held(m[2]), held(m[3])])
+
+
+def _folded_heat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One map for each key, of its rows in order; the last key of a batch may go on in the next."""
+    names = ["key", "part", "first", "last", "a", "b", "low", "high"]
+    held = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        key = batch.column(0)
+        at = batch.column(1).to_numpy(zero_copy_only=False)
+        warmth = GAIN * np.fmax(0.1, batch.column(2).to_numpy(zero_copy_only=False))
+        same = np.append(False, np.array([a == b for a, b in zip(key.to_pylist()[1:], key.to_pylist()[:-1], strict=True)], bool))
+        gone = np.where(same, np.nan_to_num(np.diff(at, prepend=at[0])), 0.0)
+        first = at.copy()
+        if held is not None and held["key"] == key[0].as_py():
+            same[0], gone[0] = True, np.nan_to_num(at[0] - held["last"])
+        maps = np.stack([COOLING ** (gone / 3600), warmth, np.zeros(len(at)), np.ones(len(at))])
+        if held is not None:
+            if same[0]:  # the map so far comes first
+                maps[:, 0] = _after(held["map"], maps[:, 0])
+                first[0], same[0] = held["first"], False
+            else:
+                yield _heat_row(names, held)
+        group = np.cumsum(~same) - 1
+        begin = np.flatnonzero(~same)
+        ends = np.append(begin[1:], len(at)) - 1
+        while len(group) > begin.size:  # neighbours of a key fall together, two by two
+            starts = np.searchsorted(group, np.arange(begin.size))
+            place = np.arange(len(group)) - starts[group]
+            keep = np.flatnonzero(place % 2 == 0)
+            paired = keep[(keep + 1 < len(group)) & (group[np.minimum(keep + 1, len(group) - 1)] == group[keep])]
+            maps[:, paired] = _after(maps[:, paired], maps[:, paired + 1])
+            maps, group = maps[:, keep], group[keep]
+        whole = begin.size - 1
+        if whole:
+            yield pa.RecordBatch.from_arrays([key.take(pa.array(begin[:whole])), batch.column(3).take(pa.array(begin[:whole])), *[pa.array(x, pa.float64(), from_pandas=True) for x in (first[begin[:whole]], at[ends[:whole]], *maps[:, :whole])]], names)
+        held = {"key": key[int(begin[-1])].as_py(), "part": batch.column(3)[0].as_py(), "first": first[begin[-1]], "last": at[-1], "map": maps[:, -1], "kind": key.type}
+    if held is not None:
+        yield _heat_row(names, held)
+
+
+def _heat_row(names: list[str], held: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([held["key"]], held["kind"]), pa.array([held["part"]], pa.int32()), *[pa.array([x], pa.float64(), from_pandas=True) for x in (held["first"], held["last"], *held["map"])]], names)
+
+
 def working_set(entries: DataFrame, now: float, slots: int = 8, by: str = "session_id") -> DataFrame:
     """Entries (with ``heat``) and their priority; those beyond the slots of their session become semantic."""
     age = F.greatest(F.lit(1.0), F.lit(now) - F.greatest("last_accessed", "created_at"))

@@ -34,6 +34,15 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the whole tables ``batch=...`` under ``path``: those that Spark has marked as done."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    root = at(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in fs.listStatus(root)] if fs.exists(root) else []
+    return sorted(int(p.getName().split("=")[1]) for p in found if p.getName().startswith("batch=") and fs.exists(at(p, "_SUCCESS")))
+
+
 def drop_tables(spark: SparkSession) -> None:
     """Removes the durable tables of this application, once no result that reads them is needed."""
     path = spark._jvm.org.apache.hadoop.fs.Path(job_dir(spark))
