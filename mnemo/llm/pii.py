@@ -40,23 +40,34 @@ CUES = "[Mm]y name is|[Nn]ame:|[Cc]ontact:|[Ss]igned,|[Ii]ch heiße|[Mm]ein Name
 #: Country codes of telephone numbers; all others have three digits (fixed values).
 COUNTRY = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 
+#: Words between a given and a family name, and words before a secret (fixed values).
+PARTICLES = "van|von|de|der|den|del|della|di|da|dos|du|la|le|bin|ibn|al|el|ter|ten|zu"
+SECRETS = "password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key"
+
 _NAME = r"\p{Lu}\p{L}*\p{Ll}(?:-\p{Lu}\p{Ll}+)?"
 _TITLE = "|".join(TITLES.values())
 _GIVEN = "|".join(sorted((n for names in GIVEN.values() for n in names), key=len, reverse=True))
+_CAPS = _GIVEN.upper()
+_CUE = rf"(?i:{SECRETS})[\"']?\s{{0,2}}[:=]\s{{0,2}}[\"']?"
 _GAP = r"[ .()-]{0,3}\d"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _MAIL = r"\p{L}\p{M}\p{N}._+-"
 ENTITY = "|".join(
     [
+        # a secret is what follows its cue and holds a digit
+        rf"(?=[pPsStTaA]){_CUE}(?=[^\s\"',;&<>]*\d)[^\s\"',;&<>]{{5,}}[^\s\"',;&<>.]",
+        r"(?<=PRIVATE KEY-----)[A-Za-z0-9+/=\s]{60,}(?=-----END)",
         rf"(?<![{_MAIL}])[{_MAIL}]*[\p{{L}}\p{{M}}\p{{N}}_+-]@[\p{{L}}\p{{M}}\p{{N}}-]+(?:\.[\p{{L}}\p{{M}}\p{{N}}-]+)*\.\p{{L}}{{2,}}",
         rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
         # eight groups, or fewer around one gap and then with a digit
         r"(?<![\p{L}\p{N}:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]{0,30}\d)[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})(?![\p{L}\p{N}:])",
-        r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
         r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9-]{20,}|xox[baprs]-[A-Za-z0-9-]{10,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})",
         r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
         r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-        r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)",
+        # after 00 as after a +, with separators or of a telephone number's whole length
+        rf"(?<![\d.,/-])(?<!\d )00(?: ?(?=[1-9]\d{{0,2}}[ .(-])[1-9]\d{{0,2}}(?:[ .-]?\(?\d{{1,4}}\)?){{2,5}}(?!\d)(?<=\d{_GAP * 7}\)?)|[1-9]\d{{9,13}}(?![\d.]))",
+        # lengths and first digits of card numbers; the check digit is asked later
+        r"(?<![0-9A-Za-z.])(?:4\d{12}|3[068]\d{12}|3[47]\d{13}|[2-6]\d{15,18}|[2-6]\d{3}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?|3[47]\d{2}[ -]\d{6}[ -]\d{5})(?![0-9A-Za-z]|\.\d)",
         # seven digits at least: ahead for speed, behind for what is matched in the end
         r"\+(?=\d(?:[ .()-]{0,3}\d){6})\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d)" + rf"(?<=\d{_GAP * 6}\)?)",
         r"(?<![\d.(-])\(?\d{3}\)?[ .-]\d{3}[.-]\d{4}(?![\d-])",
@@ -64,31 +75,57 @@ ENTITY = "|".join(
         r"(?<![\d.,/-])(?<!\d )0[1-9](?:[ .]\d{2}){4}(?![ .,]?\d)",
         r"(?<![\d.,/-])(?<!\d )\(?0[1-9]\d{1,4}\)?[ /-]\d{3,4}(?:[ -]?\d{2,4}){1,2}(?![ .,]?\d)",
         rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}(?: {_NAME})?",
-        rf"(?<!\p{{L}})(?:{_GIVEN}) {_NAME}",
+        r"(?<![\d.,/-])(?<!\d )0[1-9]-\d{7,8}(?![ .,]?\d)",
+        rf"(?<!\p{{L}})(?:{_GIVEN})(?: (?:{PARTICLES})){{0,3}} {_NAME}",
+        rf"(?<!\p{{L}})(?:{_CAPS}) \p{{Lu}}{{2,}}(?:-\p{{Lu}}{{2,}})?(?!\p{{L}})",
         rf"(?=\p{{Lu}})(?<=(?:{CUES}) ){_NAME}(?: {_NAME})?",
     ]
 )
+CAPITALS = r"^\p{Lu}{2,} \p{Lu}{2,}(?:-\p{Lu}{2,})?$"
 #: Every entity holds one of these; texts without them are passed on as they are.
-HINT = rf"[0-9@]|::|AKIA|gh[pousr]_|sk-|xox|eyJ|(?<!\p{{L}})(?:{_TITLE}|{_GIVEN})\.? \p{{Lu}}|(?:{CUES}) \p{{Lu}}"
+HINT = rf"[0-9@]|::|AKIA|gh[pousr]_|sk-|xox|eyJ|PRIVATE KEY-|(?<!\p{{L}})(?:{_TITLE}|{_GIVEN}|{_CAPS})\.? \p{{L}}|(?:{CUES}) \p{{Lu}}"
 #: Up to so many entities with a later attempt become a constant of the plan; more are joined.
 SMALL_ROWS = 500
 
 
 def kind_of(e: Column) -> Column:
+    """The kind; ``number`` is one that only looks like a card's, and stays."""
+    own = uncued(e)
     return (
-        F.when(e.contains("@"), "email")
+        F.when((own != e) & own.rlike("^(?:[0-9a-f]{16,}|[0-9A-F]{16,})$"), "hex")
+        .when(own.rlike(r"^(?:AKIA|gh[pousr]_|sk-|xox|eyJ)"), "key")
+        .when(own != e, "secret")
+        .when(e.contains("@"), "email")
+        .when(e.rlike(r"^[A-Za-z0-9+/=\s]{60,}$"), "pem")
         .when(e.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ip")
         .when(e.rlike(r"^[0-9A-Fa-f]{1,4}:"), "ip6")
-        .when(e.rlike(r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$"), "hex")
-        .when(e.rlike(r"^(?:AKIA|gh[pousr]_|sk-|xox|eyJ)"), "key")
         .when(e.rlike(r"^[A-Z]{2}\d{2}"), "iban")
         .when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-        .when(e.rlike(r"^[\d -]+$") & (F.length(digits(e)) >= 13), "card")
+        .when(like_card(e), F.when(luhn(digits(e)), "card").otherwise("number"))
         .when(e.rlike(r"^[+(\d]"), "phone")
         .otherwise("name")
     )
 
 
+def like_card(e: Column) -> Column:
+    return e.rlike(r"^[2-6](?:[ -]?\d){12,18}$")
+
+
+def uncued(e: Column) -> Column:
+    """A secret without the cue before it."""
+    return F.regexp_replace(e, f"^{_CUE}", "")
+
+
+def luhn_sum(body: Column) -> Column:
+    """Luhn's sum of the digits before a check digit."""
+    twice = lambda c: F.when(c > 4, c * 2 - 9).otherwise(c * 2)
+    return F.aggregate(F.transform(F.split(F.reverse(body), ""), lambda c, i: F.when(i % 2 == 0, twice(c.try_cast("int"))).otherwise(c.try_cast("int"))), F.lit(0), lambda n, x: n + F.coalesce(x, F.lit(0)))
+
+
+def luhn(value: Column) -> Column:
+    return (luhn_sum(F.left(value, F.length(value) - 1)) + F.right(value, F.lit(1)).try_cast("int")) % 10 == 0
+
+
 def digits(e: Column) -> Column:
     return F.regexp_replace(e, "[^0-9]", "")
 
@@ -116,18 +153,20 @@ def value_of(e: Column, kind: Column) -> Column:
     return (
         F.when(kind.isin("card", "ssn"), digits(e))
         .when(kind == "phone", F.substr(digits(e), F.length(dialled(e)) + 1))
-        .when(kind.isin("email", "hex"), F.lower(e))
+        .when(kind == "email", F.lower(e))
+        .when(kind == "hex", F.lower(uncued(e)))
+        .when(kind.isin("key", "secret"), uncued(e))
         .when(kind == "iban", F.replace(e, F.lit(" "), F.lit("")))
         .when(kind == "ip6", groups(e))
-        .when(kind == "name", untitled(e))
+        .when(kind == "name", F.when(e.rlike(CAPITALS), F.initcap(e)).otherwise(untitled(e)))
         .otherwise(e)
     )
 
 
-def pseudo(key: str, kind: Column | str, value: Column, attempt: Column) -> Column:
+def pseudo(key: Column | str, kind: Column | str, value: Column, attempt: Column) -> Column:
     """64 hex digits that nobody without ``key`` can compute."""
-    kind = F.lit(kind) if isinstance(kind, str) else kind
-    return F.sha2(F.concat_ws("\x1f", F.lit(key), kind, value, attempt.cast("string"), F.lit(key)), 256)
+    key, kind = (F.lit(c) if isinstance(c, str) else c for c in (key, kind))
+    return F.sha2(F.concat_ws("\x1f", key, kind, value, attempt.cast("string"), key), 256)
 
 
 def number(hexed: Column, at: Column | int, n: int = 7) -> Column:
@@ -160,9 +199,7 @@ def shaped(value: Column, hexed: Column, keep: int = 0) -> Column:
 def card_number(value: Column, hexed: Column) -> Column:
     """Digits of the same number and first digit whose last is Luhn's check digit."""
     body = F.concat(F.left(value, F.lit(1)), F.substr(as_digits(hexed), F.lit(1), F.length(value) - 2))
-    twice = lambda c: F.when(c > 4, c * 2 - 9).otherwise(c * 2)
-    total = lambda b: F.aggregate(F.transform(F.split(F.reverse(b), ""), lambda c, i: F.when(i % 2 == 0, twice(c.cast("int"))).otherwise(c.cast("int"))), F.lit(0), lambda n, x: n + x)
-    return let(body, lambda b: F.concat(b, ((10 - total(b) % 10) % 10).cast("string")))
+    return let(body, lambda b: F.concat(b, ((10 - luhn_sum(b) % 10) % 10).cast("string")))
 
 
 def iban(value: Column, hexed: Column) -> Column:
@@ -177,7 +214,7 @@ def iban(value: Column, hexed: Column) -> Column:
     return let(rest, lambda r: F.concat(country, F.lpad((98 - left(F.concat(r, country, F.lit("00")))).cast("string"), 2, "0"), r))
 
 
-def permuted(left: Column, right: Column, a: Column, b: Column, kind: Column, key: str, rounds: int = 6) -> Column:
+def permuted(left: Column, right: Column, a: Column, b: Column, kind: Column, key: Column | str, rounds: int = 6) -> Column:
     """struct(l, r): another pair within ``a`` and ``b``, by a keyed permutation of all pairs that leaves none in its place.
 
     Feistel rounds over both halves, one step forward, and the rounds back.
@@ -194,7 +231,7 @@ def permuted(left: Column, right: Column, a: Column, b: Column, kind: Column, ke
     return F.aggregate(F.array(*map(F.lit, range(2 * rounds + 1))), F.struct(left.alias("l"), right.alias("r")), step)
 
 
-def permuted_digits(value: Column, kind: Column, key: str) -> Column:
+def permuted_digits(value: Column, kind: Column, key: Column | str) -> Column:
     n = F.length(value)
     half = F.floor(n / 2).cast("int")
     ten = lambda k: F.rpad(F.lit("1"), k + 1, F.lit("0")).cast("long")
@@ -202,14 +239,14 @@ def permuted_digits(value: Column, kind: Column, key: str) -> Column:
     return let(new, lambda s: F.concat(F.when(half > 0, F.lpad(s["l"].cast("string"), half, F.lit("0"))).otherwise(""), F.lpad(s["r"].cast("string"), n - half, F.lit("0"))))
 
 
-def permuted_ip(value: Column, kind: Column, key: str) -> Column:
+def permuted_ip(value: Column, kind: Column, key: Column | str) -> Column:
     octet = lambda i: F.get(F.split(value, r"\."), i).try_cast("long")
     all_ = F.lit(1 << 16).cast("long")
     new = permuted(octet(0) * 256 + octet(1), octet(2) * 256 + octet(3), all_, all_, kind, key)
     return let(new, lambda s: F.concat_ws(".", *[x.cast("int").cast("string") for c in "lr" for x in (F.floor(s[c] / 256), s[c] % 256)]))
 
 
-def other_name(value: Column, attempt: Column, key: str) -> Column:
+def other_name(value: Column, attempt: Column, key: Column | str) -> Column:
     """Another name of the same script; given names keep their gender, and those that tell none get one that fits both.
 
     The given name is tried again first, then the family name, which gets
@@ -234,7 +271,7 @@ def other_name(value: Column, attempt: Column, key: str) -> Column:
     return let(bound, lambda x: F.when(value.rlike(r"\p{IsCyrillic}"), of("cyrillic", x)).otherwise(of("latin", x)))
 
 
-def new_value(kind: Column, value: Column, attempt: Column, key: str) -> Column:
+def new_value(kind: Column, value: Column, attempt: Column, key: Column | str) -> Column:
     """The surrogate value.
 
     Where the format leaves the length open, later attempts get longer, so
@@ -254,6 +291,8 @@ def new_value(kind: Column, value: Column, attempt: Column, key: str) -> Column:
             .when(kind == "ip6", F.concat(F.lit("20010db800000000"), F.left(h, F.lit(16))))
             .when(kind == "hex", F.substr(F.repeat(h, F.lit(2)), F.lit(1), F.length(value)))
             .when(kind == "key", F.concat(shaped(value, h, 4), longer))
+            .when(kind == "secret", F.concat(shaped(value, h), longer))
+            .when(kind == "pem", shaped(value, h))
             .when(kind == "iban", iban(value, h))
             .when(kind == "card", card_number(value, h))
             .when(kind.isin("phone", "ssn"), F.when(attempt < 0, permuted_digits(value, kind, key)).otherwise(some))
@@ -273,10 +312,12 @@ def respelled(e: Column, kind: Column, new: Column) -> Column:
     return (
         F.when(kind == "email", F.concat(cased, F.lit("@"), F.substring_index(new, "@", -1)))
         .when(kind == "ip6", F.when(e.rlike("[A-F]"), F.upper(six)).otherwise(six))
-        .when(kind == "hex", F.when(e.rlike("[A-F]"), F.upper(new)).otherwise(new))
+        .when(kind.isin("hex", "key", "secret"), F.concat(F.left(e, F.length(e) - F.length(uncued(e))), F.when((kind == "hex") & uncued(e).rlike("[A-F]"), F.upper(new)).otherwise(new)))
         .when(kind == "iban", spelled(e, new, "[^ ]"))
         .when(kind == "phone", spelled(e, F.concat(dialled(e), new)))
         .when(kind.isin("card", "ssn"), spelled(e, new))
+        .when(kind == "number", e)
+        .when((kind == "name") & e.rlike(CAPITALS), F.upper(new))
         .when(kind == "name", F.concat(F.left(e, F.length(e) - F.length(untitled(e))), new))
         .otherwise(new)
     )
@@ -288,7 +329,12 @@ def entities(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(none)
 
 
-def later_attempts(found: DataFrame, key: str) -> DataFrame:
+def with_key(df: DataFrame, key: DataFrame | str) -> DataFrame:
+    """``df`` and the one row of ``key`` as ``_secret``."""
+    return df.withColumn("_secret", F.lit(key)) if isinstance(key, str) else df.crossJoin(F.broadcast(key.select(F.col("key").alias("_secret"))))
+
+
+def later_attempts(found: DataFrame, key: DataFrame | str) -> DataFrame:
     """(kind, value, attempt) of the entities whose first surrogate is not theirs alone.
 
     ``found`` has every distinct (kind, value).  Of those that share a
@@ -308,7 +354,7 @@ def later_attempts(found: DataFrame, key: str) -> DataFrame:
     dense = held.where("attempt < 0")
     held = held.where("attempt = 0")
     while True:
-        made = held.withColumn("new", new_value(F.col("kind"), F.col("value"), F.col("attempt"), key))
+        made = with_key(held, key).withColumn("new", new_value(F.col("kind"), F.col("value"), F.col("attempt"), F.col("_secret"))).drop("_secret")
         real = held.select("kind", F.col("value").alias("new"), F.lit(True).alias("real"))
         made = made.join(real, ["kind", "new"], "left")
         nth = F.row_number().over(Window.partitionBy("kind", "new").orderBy(F.col("attempt") > 0, "value"))
@@ -318,43 +364,48 @@ def later_attempts(found: DataFrame, key: str) -> DataFrame:
         held = made.withColumn("attempt", F.col("attempt") + F.col("again").cast("int")).drop("again")
 
 
-def replace_entities(docs: DataFrame, text: str = "text", key: str = "rotate-me", small_rows: int = SMALL_ROWS) -> DataFrame:
+def replace_entities(docs: DataFrame, text: str = "text", key: DataFrame | str = "rotate-me", small_rows: int = SMALL_ROWS) -> DataFrame:
     """``docs`` with its entities replaced in ``text``, and ``n_entities``.
 
     Null texts stay null with 0 entities.  Rows are replaced one by one: equal
     texts give equal texts, long ones are read whole, and an empty table gives
-    an empty one.  A column ``n_entities`` of ``docs`` is replaced.  Plans hold
-    a key derived from ``key``, never ``key`` itself.
+    an empty one.  A column ``n_entities`` of ``docs`` is replaced; others may
+    have any name.  ``key`` is a table of one row (key), best read from where
+    only the job can read it, or its text.  It is joined as a column, so that
+    neither it nor anything derived from it stands in a plan.
     """
-    key = hmac.new(key.encode(), b"surrogates", "sha256").hexdigest()
+    spark = docs.sparkSession
+    if isinstance(key, str):
+        key = spark.createDataFrame([(hmac.new(key.encode(), b"surrogates", "sha256").hexdigest(),)], "key string")
     held = [c for c in docs.columns if c != "n_entities"]
-    t = F.col(f"`{text}`")
-    named = lambda df: df.withColumn("kind", kind_of(F.col("e"))).withColumn("value", value_of(F.col("e"), F.col("kind")))
-    each = named(docs.select(F.explode(F.array_distinct(entities(t))).alias("e")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in held]).alias("_row"), F.col(f"`{text}`").alias("_text"))
+    t = F.col("_text")
+    named = lambda df: df.withColumn("kind", kind_of(F.col("e"))).withColumn("value", value_of(F.col("e"), F.col("kind"))).where("kind <> 'number'")
+    each = named(rows.select(F.explode(F.array_distinct(entities(t))).alias("e")))
     later = durable(later_attempts(each.select("kind", "value").distinct(), key))
     n_later = later.count()
-    out = docs.select(*[F.col(f"`{c}`") for c in held])
+    out = with_key(rows, key)
     if n_later == 0:
         attempt = lambda e, x: F.lit(0)
     elif n_later <= small_rows:
-        rows = later.select(F.concat_ws("\x1f", "kind", "value").alias("k"), "attempt").collect()
-        table = F.create_map(*[F.lit(x) for r in rows for x in (r.k, r.attempt)])
+        found = later.select(F.concat_ws("\x1f", "kind", "value").alias("k"), "attempt").collect()
+        table = F.create_map(*[F.lit(x) for r in found for x in (r.k, r.attempt)])
         attempt = lambda e, x: F.coalesce(F.try_element_at(table, F.concat_ws("\x1f", x["kind"], x["value"])), F.lit(0))
     else:
-        marked = named(docs.select(F.unhex(F.md5(t)).alias("_hash"), F.explode(F.array_distinct(entities(t))).alias("e")).distinct())
+        marked = named(rows.select(F.unhex(F.md5(t)).alias("_hash"), F.explode(F.array_distinct(entities(t))).alias("e")).distinct())
         maps = marked.join(later, ["kind", "value"]).groupBy("_hash").agg(F.map_from_entries(F.collect_set(F.struct("e", "attempt"))).alias("_later"))
         out = out.withColumn("_hash", F.unhex(F.md5(t))).join(maps, "_hash", "left")
         attempt = lambda e, x: F.coalesce(F.try_element_at(F.col("_later"), e), F.lit(0))
 
     def surrogate(e: Column) -> Column:
         with_value = lambda k: F.struct(k.alias("kind"), value_of(e, k).alias("value"))
-        return let(let(kind_of(e), with_value), lambda x: respelled(e, x["kind"], new_value(x["kind"], x["value"], attempt(e, x), key)))
+        return let(let(kind_of(e), with_value), lambda x: respelled(e, x["kind"], new_value(x["kind"], x["value"], attempt(e, x), F.col("_secret"))))
 
     out = out.withColumn("_entities", entities(t))
     put = F.zip_with(F.split(t, ENTITY, -1), F.transform("_entities", surrogate), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     new = F.when(F.size("_entities") > 0, F.array_join(put, "")).otherwise(t)
-    n = F.size("_entities").cast("long")
-    return out.select(*[(new if c == text else F.col(f"`{c}`")).alias(c) for c in held], n.alias("n_entities"))
+    n = F.size(F.filter("_entities", lambda e: ~like_card(e) | luhn(digits(e)))).cast("long")
+    return out.select(*[(new if c == text else F.col(f"_row.`{c}`")).alias(c) for c in held], n.alias("n_entities"))
 
 
 def replace_documents(docs: DataFrame) -> DataFrame:
