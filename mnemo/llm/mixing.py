@@ -164,7 +164,7 @@ def in_order(rows: DataFrame, by: list[str], key: Column, value: str, n_rows: in
     return out.withColumns({"r": F.col("_n") + F.row_number().over(inside) - 1, "before": F.col("_v") + upto - F.col(value)}).drop("_key", "_part", "_n", "_v")
 
 
-def mix(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, share: float = 1.0, seed: int = 17, block_docs: int = 500, shard_blocks: int = 16, targets: DataFrame | None = None) -> DataFrame:
+def mix(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, share: float = 1.0, seed: int = 17, block_docs: int = 50, shard_blocks: int = 4, targets: DataFrame | None = None) -> DataFrame:
     """Every row of ``sized`` (doc_id, source, size, ...) with what the mix takes of it.
 
     Adds ``source_size``, ``target``, ``taken`` (words, repeats counted) and
