@@ -1,9 +1,12 @@
 """Near-duplicates by word shingles: Jaccard similarity of the sets of five-word windows.
 
-A text's set is signed by 128 smallest hashes in 32 bands of four; texts that
-agree in a band are candidates, and candidates are verified by the exact
-similarity of their whole sets.  A pair at similarity 0.8 has a band in common
-but for 5 in 10^8 cases, a pair above it more surely still.
+Candidates come from two sources, and all are verified by the exact similarity
+of their whole sets.  The first are SimHash fingerprints of the sets, linked by
+deletion-variant signatures as in ``simhash``: texts that differ little.  At a
+similarity of 0.8 fingerprints lie about ten bits apart, too far for any
+signature that is still selective, so a second source is needed for whole
+results: 128 smallest hashes in 32 bands of four.  A pair at similarity 0.8 has
+a band in common but for 5 in 10^8 cases, a pair above it more surely still.
 
 Equal sets fall together before.  As in ``simhash``, a band's texts are first
 held against its smallest and most frequent one, those links are contracted,
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from mnemo.llm.common import join_counted
-from mnemo.llm.simhash import first_of_each
+from mnemo.llm.simhash import BITS, first_of_each, link
 from mnemo.operators.components import connected_components
 from mnemo.sources.durable import durable
 
@@ -70,18 +73,26 @@ def bands(found: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """SimHash of a set: a bit is 1 if it is in over half of the hashes."""
+    total = np.zeros(BITS, np.int64)
+    for k in range(0, len(found), 1 << 14):
+        total += np.unpackbits(found[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(found), bitorder="little").view("<i8")[0])
+
+
 def signed(text: Column) -> Column:
-    """(set, size, bands) of each whole text; null is like empty."""
+    """(set, size, fp, bands) of each whole text; null is like empty."""
 
-    @pandas_udf("set long, size long, bands array<long>")
+    @pandas_udf("set long, size long, fp long, bands array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known: dict[bytes, int] = {}
         for texts in batches:
             rows = []
             for t in texts:
                 found = shingles(t or "", known)
-                rows.append((int(np.array(xxhash.xxh64_intdigest(found.tobytes(), 9), np.uint64).view(np.int64)), len(found), bands(found)))
-            yield pd.DataFrame(rows, columns=["set", "size", "bands"])
+                rows.append((int(np.array(xxhash.xxh64_intdigest(found.tobytes(), 9), np.uint64).view(np.int64)), len(found), fingerprint(found), bands(found)))
+            yield pd.DataFrame(rows, columns=["set", "size", "fp", "bands"])
 
     return run(text)
 
@@ -164,18 +175,30 @@ def sharing_rare(texts: DataFrame, least: float) -> DataFrame:
     return pairs.select(F.col("a.set").alias("u"), F.col("b.set").alias("v"), F.col("a.size").alias("size_u"), F.col("b.size").alias("size_v"), F.col("a.component").alias("cu"), F.col("b.component").alias("cv"))
 
 
+def by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Candidates (u, v, size_u, size_v): each set with the most frequent one among those whose fingerprints are linked to its own."""
+    fps = durable(nodes.groupBy("fp").agg(F.sum("n").alias("n"), F.max(F.struct("n", "set", "size")).alias("top")))
+    linked = durable(fps.join(link(fps.select("fp", "n")), "fp").select("fp", "component", "top"))
+    heads = durable(linked.groupBy("component").agg(F.max("top").alias("head"), F.count("*").alias("n")))
+    headed = linked.join(heads.where("n > 1").drop("n"), "component", "left").select("fp", F.coalesce("head", "top").alias("head"))
+    pairs = nodes.join(headed, "fp").where(F.col("set") != F.col("head.set"))
+    return durable(pairs.select(F.col("set").alias("u"), F.col("head.set").alias("v"), F.col("size").alias("size_u"), F.col("head.size").alias("size_v")))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", least: float = LEAST) -> DataFrame:
     """One row (doc_id, text_hash, component) for each row of ``docs``; texts without words are alike."""
     hashed = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     marked = docs.select("doc_id", hashed.alias("text_hash"), signed(F.col(text)).alias("s"))
-    marked = durable(marked.select("doc_id", "text_hash", F.col("s.set").alias("set"), F.col("s.size").alias("size"), F.col("s.bands").alias("bands")))
-    nodes = durable(marked.groupBy("set", "size").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash")).alias("of"), F.first("bands").alias("bands")))
+    marked = durable(marked.select("doc_id", "text_hash", F.col("s.set").alias("set"), F.col("s.size").alias("size"), F.col("s.fp").alias("fp"), F.col("s.bands").alias("bands")))
+    nodes = durable(marked.groupBy("set", "size", "fp").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash")).alias("of"), F.first("bands").alias("bands")))
+    alike_fp = by_fingerprint(nodes)
     keyed = nodes.select("set", "size", "n", F.explode("bands").alias("key"))
     alike, end = Window.partitionBy("key"), F.struct("set", "size")
     keyed = keyed.withColumns({"many": F.count("*").over(alike), "least": F.min(end).over(alike), "top": F.max(F.struct("n", "set", "size")).over(alike)})
     keyed = durable(keyed.where("many > 1").select("key", "set", "size", "many", "least", "top"))
 
-    of = nodes.join(keyed.select("set").distinct(), "set").select("set", F.col("of.doc_id").alias("_id"), F.col("of.text_hash").alias("_hash"))
+    in_pairs = keyed.select("set").unionByName(alike_fp.select(F.explode(F.array("u", "v")).alias("set"))).distinct()
+    of = nodes.join(in_pairs, "set").select("set", F.col("of.doc_id").alias("_id"), F.col("of.text_hash").alias("_hash"))
     source = docs.select("doc_id", hashed.alias("_hash2"), F.col(text).alias("t"))
     texts = source.join(of, source["doc_id"].eqNullSafe(of["_id"]) & (source["_hash2"] == of["_hash"])).select("set", "t")
     texts = durable(texts.dropDuplicates(["set"]))
@@ -188,7 +211,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", least: float = LEAST) -
         return pairs.join(a, "u").join(b, "v").where(similarity(F.col("tu"), F.col("tv")) >= least - 1e-9).drop("tu", "tv")
 
     held_to = lambda e: keyed.where(F.col("set") != F.col(f"{e}.set")).select(F.col("set").alias("u"), F.col(f"{e}.set").alias("v"), F.col("size").alias("size_u"), F.col(f"{e}.size").alias("size_v"))
-    stars = durable(connected_components(near(held_to("least").unionByName(held_to("top"))).select("u", "v")))
+    stars = durable(connected_components(near(alike_fp.unionByName(held_to("least")).unionByName(held_to("top"))).select("u", "v")))
 
     rest = keyed.where("many > 2").select("key", "set", "size", F.col("least.set").alias("least"))
     named = rest.join(stars.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))

@@ -137,8 +137,9 @@ def first_of_each(docs: DataFrame, marked: DataFrame, by: str, text: str = "text
     """
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
     kept = marked.groupBy(by).agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
-    hashed = docs.withColumn("_hash2", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    found = hashed.join(kept, hashed["doc_id"].eqNullSafe(kept["_id"]) & (hashed["_hash2"] == kept["_hash"]))
+    # the columns of docs go as one, so that theirs and those added here can't clash
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_own"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("_of"))
+    found = held.join(kept, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_hash")))
     # rows that agree in both are one document more than once
-    once = Window.partitionBy("doc_id", "_hash2").orderBy(F.lit(1))
-    return found.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    once = Window.partitionBy("_own", "_of").orderBy(F.lit(1))
+    return found.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
