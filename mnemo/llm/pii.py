@@ -90,7 +90,10 @@ SMALL_ROWS = 500
 
 def kind_of(e: Column) -> Column:
     """The kind; ``number`` is one that only looks like a card's, and stays."""
-    own = uncued(e)
+    return let(uncued(e), lambda own: _kind(e, own))
+
+
+def _kind(e: Column, own: Column) -> Column:
     return (
         F.when((own != e) & own.rlike("^(?:[0-9a-f]{16,}|[0-9A-F]{16,})$"), "hex")
         .when(own.rlike(r"^(?:AKIA|gh[pousr]_|sk-|xox|eyJ)"), "key")
@@ -183,7 +186,7 @@ def spelled(e: Column, new: Column, marks: str = "[0-9]") -> Column:
     return F.array_join(F.transform(F.split(e, ""), lambda c, i: F.when(c.rlike(marks), F.substr(new, nth(i) + 1, F.lit(1))).otherwise(c)), "")
 
 
-def shaped(value: Column, hexed: Column, keep: int = 0) -> Column:
+def shaped(value: Column, hexed: Column, keep: Column) -> Column:
     """``value`` with digits and letters replaced by others of their kind, case and script after the first ``keep`` characters."""
 
     def letter(c: Column, i: Column) -> Column:
@@ -202,16 +205,15 @@ def card_number(value: Column, hexed: Column) -> Column:
     return let(body, lambda b: F.concat(b, ((10 - luhn_sum(b) % 10) % 10).cast("string")))
 
 
-def iban(value: Column, hexed: Column) -> Column:
-    """The same country, other letters and digits in the same places, and the check digits that they ask for."""
-    rest = shaped(F.substr(value, F.lit(5)), hexed)
+def iban(value: Column, rest: Column) -> Column:
+    """The same country, ``rest`` after it, and the check digits that it asks for."""
 
     def left(number_: Column) -> Column:
         chars = F.split(number_, "")
         return F.aggregate(chars, F.lit(0).cast("long"), lambda n, c: F.when(c.rlike("[0-9]"), n * 10 + c.cast("long")).otherwise(n * 100 + F.ascii(c) - 55) % 97)
 
     country = F.left(value, F.lit(2))
-    return let(rest, lambda r: F.concat(country, F.lpad((98 - left(F.concat(r, country, F.lit("00")))).cast("string"), 2, "0"), r))
+    return F.concat(country, F.lpad((98 - left(F.concat(rest, country, F.lit("00")))).cast("string"), 2, "0"), rest)
 
 
 def permuted(left: Column, right: Column, a: Column, b: Column, kind: Column, key: Column | str, rounds: int = 6) -> Column:
@@ -278,22 +280,26 @@ def new_value(kind: Column, value: Column, attempt: Column, key: Column | str) -
     there is always room.  An attempt of -1 asks for a permutation.
     """
 
+    local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
+    free = F.when(kind == "email", local).when(kind == "iban", F.substr(value, F.lit(5))).when(kind.isin("key", "secret", "pem"), value).otherwise("")
+
     def of(h: Column) -> Column:
+        return let(shaped(free, h, F.when(kind == "key", 4).otherwise(0)), lambda other: made(h, other))
+
+    def made(h: Column, other: Column) -> Column:
         longer = F.left(as_digits(h), F.greatest(attempt - 8, F.lit(0)))
-        local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
         octets = F.concat_ws(".", (240 + number(h, 1) % 16).cast("string"), *[(number(h, k) % 256).cast("string") for k in (8, 15, 22)])
         some = F.substr(as_digits(h), F.lit(1), F.length(value))
         # a number that does not begin with 0 gets none that does
         some = F.when(value.startswith("0"), some).otherwise(F.concat((1 + number(h, 58) % 9).cast("string"), F.substr(some, F.lit(2))))
         return (
-            F.when(kind == "email", F.concat(shaped(local, h), longer, F.lit("@d"), F.left(pseudo(key, "domain", domain, F.lit(0)), F.lit(12)), F.lit(".example")))
+            F.when(kind == "email", F.concat(other, longer, F.lit("@d"), F.left(pseudo(key, "domain", domain, F.lit(0)), F.lit(12)), F.lit(".example")))
             .when(kind == "ip", F.when(attempt < 0, permuted_ip(value, kind, key)).otherwise(octets))
             .when(kind == "ip6", F.concat(F.lit("20010db800000000"), F.left(h, F.lit(16))))
             .when(kind == "hex", F.substr(F.repeat(h, F.lit(2)), F.lit(1), F.length(value)))
-            .when(kind == "key", F.concat(shaped(value, h, 4), longer))
-            .when(kind == "secret", F.concat(shaped(value, h), longer))
-            .when(kind == "pem", shaped(value, h))
-            .when(kind == "iban", iban(value, h))
+            .when(kind.isin("key", "secret"), F.concat(other, longer))
+            .when(kind == "pem", other)
+            .when(kind == "iban", iban(value, other))
             .when(kind == "card", card_number(value, h))
             .when(kind.isin("phone", "ssn"), F.when(attempt < 0, permuted_digits(value, kind, key)).otherwise(some))
             .otherwise(other_name(value, attempt, key))
@@ -312,7 +318,7 @@ def respelled(e: Column, kind: Column, new: Column) -> Column:
     return (
         F.when(kind == "email", F.concat(cased, F.lit("@"), F.substring_index(new, "@", -1)))
         .when(kind == "ip6", F.when(e.rlike("[A-F]"), F.upper(six)).otherwise(six))
-        .when(kind.isin("hex", "key", "secret"), F.concat(F.left(e, F.length(e) - F.length(uncued(e))), F.when((kind == "hex") & uncued(e).rlike("[A-F]"), F.upper(new)).otherwise(new)))
+        .when(kind.isin("hex", "key", "secret"), let(uncued(e), lambda own: F.concat(F.left(e, F.length(e) - F.length(own)), F.when((kind == "hex") & own.rlike("[A-F]"), F.upper(new)).otherwise(new))))
         .when(kind == "iban", spelled(e, new, "[^ ]"))
         .when(kind == "phone", spelled(e, F.concat(dialled(e), new)))
         .when(kind.isin("card", "ssn"), spelled(e, new))
