@@ -14,12 +14,13 @@ space or more are exchanged by a keyed permutation of that space instead.
 from __future__ import annotations
 
 import hmac
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemo.llm.common import let
-from mnemo.sources.durable import durable
+from mnemo.sources.durable import durable, job_dir
 
 #: Titles by gender, and given names by script and gender, "u" for those of either (fixed values).
 TITLES = {"m": "Mr|Herr|Señor|Sr|Monsieur|господин|г-н", "f": "Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|госпожа|г-жа", "u": "Dr|Prof"}
@@ -48,14 +49,14 @@ _NAME = r"\p{Lu}\p{L}*\p{Ll}(?:-\p{Lu}\p{Ll}+)?"
 _TITLE = "|".join(TITLES.values())
 _GIVEN = "|".join(sorted((n for names in GIVEN.values() for n in names), key=len, reverse=True))
 _CAPS = _GIVEN.upper()
-_CUE = rf"(?i:{SECRETS})[\"']?\s{{0,2}}[:=]\s{{0,2}}[\"']?"
+_CUE = r"[:=]\s{0,2}[\"']?"
 _GAP = r"[ .()-]{0,3}\d"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _MAIL = r"\p{L}\p{M}\p{N}._+-"
 ENTITY = "|".join(
     [
-        # a secret is what follows its cue and holds a digit
-        rf"(?=[pPsStTaA]){_CUE}(?=[^\s\"',;&<>]*\d)[^\s\"',;&<>]{{5,}}[^\s\"',;&<>.]",
+        # a secret is what follows its cue and holds a digit; it is looked for from the sign after the cue on
+        rf"(?=[:=])(?<=(?i:{SECRETS})[\"']?\s{{0,2}}){_CUE}(?=[^\s\"',;&<>]*\d)[^\s\"',;&<>]{{5,}}[^\s\"',;&<>.]",
         r"(?<=PRIVATE KEY-----)[A-Za-z0-9+/=\s]{60,}(?=-----END)",
         rf"(?<![{_MAIL}])[{_MAIL}]*[\p{{L}}\p{{M}}\p{{N}}_+-]@[\p{{L}}\p{{M}}\p{{N}}-]+(?:\.[\p{{L}}\p{{M}}\p{{N}}-]+)*\.\p{{L}}{{2,}}",
         rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
@@ -74,16 +75,16 @@ ENTITY = "|".join(
         # national numbers with their trunk digit: in pairs, or an area code and the rest
         r"(?<![\d.,/-])(?<!\d )0[1-9](?:[ .]\d{2}){4}(?![ .,]?\d)",
         r"(?<![\d.,/-])(?<!\d )\(?0[1-9]\d{1,4}\)?[ /-]\d{3,4}(?:[ -]?\d{2,4}){1,2}(?![ .,]?\d)",
-        rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}(?: {_NAME})?",
+        rf"(?=[\p{{Lu}}г])(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}(?: {_NAME})?",
         r"(?<![\d.,/-])(?<!\d )0[1-9]-\d{7,8}(?![ .,]?\d)",
-        rf"(?<!\p{{L}})(?:{_GIVEN})(?: (?:{PARTICLES})){{0,3}} {_NAME}",
-        rf"(?<!\p{{L}})(?:{_CAPS}) \p{{Lu}}{{2,}}(?:-\p{{Lu}}{{2,}})?(?!\p{{L}})",
+        rf"(?=\p{{Lu}}\p{{Ll}})(?<!\p{{L}})(?:{_GIVEN})(?: (?:{PARTICLES})){{0,3}} {_NAME}",
+        rf"(?=\p{{Lu}}{{2}})(?<!\p{{L}})(?:{_CAPS}) \p{{Lu}}{{2,}}(?:-\p{{Lu}}{{2,}})?(?!\p{{L}})",
         rf"(?=\p{{Lu}})(?<=(?:{CUES}) ){_NAME}(?: {_NAME})?",
     ]
 )
 CAPITALS = r"^\p{Lu}{2,} \p{Lu}{2,}(?:-\p{Lu}{2,})?$"
 #: Every entity holds one of these; texts without them are passed on as they are.
-HINT = rf"[0-9@]|::|AKIA|gh[pousr]_|sk-|xox|eyJ|PRIVATE KEY-|(?<!\p{{L}})(?:{_TITLE}|{_GIVEN}|{_CAPS})\.? \p{{L}}|(?:{CUES}) \p{{Lu}}"
+HINT = rf"[0-9@]|::|AKIA|gh[pousr]_|sk-|xox|eyJ|PRIVATE KEY-|(?=[\p{{Lu}}г])(?<!\p{{L}})(?:{_TITLE}|{_GIVEN}|{_CAPS})\.? \p{{L}}|(?:{CUES}) \p{{Lu}}"
 #: Up to so many entities with a later attempt become a constant of the plan; more are joined.
 SMALL_ROWS = 500
 
@@ -335,6 +336,18 @@ def entities(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(none)
 
 
+def secret_table(spark: SparkSession, key: str) -> DataFrame:
+    """``key`` as a table of one row that only the job's user can read; written past Spark, so no plan and no event log has it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(f"{job_dir(spark)}/secret-{uuid.uuid4().hex}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(path)
+    out.write(bytearray(key.encode()))
+    out.close()
+    fs.setPermission(path, hadoop.permission.FsPermission("600"))
+    return spark.read.text(path.toString()).select(F.col("value").alias("key"))
+
+
 def with_key(df: DataFrame, key: DataFrame | str) -> DataFrame:
     """``df`` and the one row of ``key`` as ``_secret``."""
     return df.withColumn("_secret", F.lit(key)) if isinstance(key, str) else df.crossJoin(F.broadcast(key.select(F.col("key").alias("_secret"))))
@@ -360,7 +373,7 @@ def later_attempts(found: DataFrame, key: DataFrame | str) -> DataFrame:
     dense = held.where("attempt < 0")
     held = held.where("attempt = 0")
     while True:
-        made = with_key(held, key).withColumn("new", new_value(F.col("kind"), F.col("value"), F.col("attempt"), F.col("_secret"))).drop("_secret")
+        made = durable(with_key(held, key).select("kind", "value", "attempt", new_value(F.col("kind"), F.col("value"), F.col("attempt"), F.col("_secret")).alias("new")))
         real = held.select("kind", F.col("value").alias("new"), F.lit(True).alias("real"))
         made = made.join(real, ["kind", "new"], "left")
         nth = F.row_number().over(Window.partitionBy("kind", "new").orderBy(F.col("attempt") > 0, "value"))
@@ -382,13 +395,13 @@ def replace_entities(docs: DataFrame, text: str = "text", key: DataFrame | str =
     """
     spark = docs.sparkSession
     if isinstance(key, str):
-        key = spark.createDataFrame([(hmac.new(key.encode(), b"surrogates", "sha256").hexdigest(),)], "key string")
+        key = secret_table(spark, hmac.new(key.encode(), b"surrogates", "sha256").hexdigest())
     held = [c for c in docs.columns if c != "n_entities"]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in held]).alias("_row"), F.col(f"`{text}`").alias("_text"))
     t = F.col("_text")
     named = lambda df: df.withColumn("kind", kind_of(F.col("e"))).withColumn("value", value_of(F.col("e"), F.col("kind"))).where("kind <> 'number'")
     each = named(rows.select(F.explode(F.array_distinct(entities(t))).alias("e")))
-    later = durable(later_attempts(each.select("kind", "value").distinct(), key))
+    later = durable(later_attempts(durable(each.select("kind", "value").distinct()), key))  # texts are read once for them
     n_later = later.count()
     out = with_key(rows, key)
     if n_later == 0:

@@ -100,7 +100,7 @@ class Surrogates:
         return hashlib.sha256("\x1f".join(p for p in parts if p is not None).encode()).hexdigest()
 
     def uncued(self, e):
-        return re.sub(r"""^(password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)["']?\s{0,2}[:=]\s{0,2}["']?""", "", e, flags=re.I)
+        return re.sub(r"""^[:=]\s{0,2}["']?""", "", e)
 
     def kind(self, e):
         own, d = self.uncued(e), re.sub("[^0-9]", "", e)
