@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemo.functions import stem as P
+from mnemo.operators import ann as A
 from mnemo.operators import text_index as I
 from mnemo.plans import fixtures as T
-from mnemo.plans.recall_queries import BM25, RANKED
+from mnemo.plans.recall_queries import BM25, RANKED, vectors
 from mnemo.plans.registry import query
 from mnemo.sources.durable import job_dir
 
@@ -85,3 +86,12 @@ def index_search(spark, sf):
     for b in range(2):
         I.append(docs.where(F.col("seq") % 2 == b), path, b)
     return I.index_search(spark, path, T.queries(spark, sf), docs, 5)
+
+
+@query("ann_search")
+def ann_search(spark, sf):
+    """The five nearest by the inverted file, for every vector whose id is divisible by 50; its recall is tested against ``knn``."""
+    queries, v = vectors(spark, sf)
+    path = f"{job_dir(spark)}/cells-{uuid.uuid4().hex}"
+    cells = A.build(v, path, 5)
+    return A.search(spark, path, cells, queries, 5)
