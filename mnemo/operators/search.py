@@ -254,17 +254,20 @@ def recall_adequacy(queries: DataFrame, results: DataFrame, memories: DataFrame)
 def recall_reflective(queries: DataFrame, search, memories: DataFrame, rounds: int = 2, threshold: float = 0.6) -> DataFrame:
     """``search(queries)`` rerun for inadequate queries with abbreviations written out; the best attempt of each stays.
 
-    Bounded rounds over a shrinking set; the plan grows by one search a round.
+    Bounded rounds over a shrinking set.  Each attempt and the queries it leaves
+    are written, so no round computes an earlier one again.
     """
     asked, attempts = queries, None
     for i in range(rounds + 1):
-        found = search(asked)
-        judged = asked.select("query_id").join(recall_adequacy(asked, found, memories), "query_id").withColumn("attempt", F.lit(i))
-        rows = judged.join(found.select("query_id", "key", "score", "rank"), "query_id", "left")
+        found = durable(search(asked).select("query_id", "key", "score", "rank"))
+        judged = durable(asked.select("query_id", "query").join(recall_adequacy(asked, found, memories), "query_id").withColumn("attempt", F.lit(i)))
+        rows = judged.drop("query").join(found, "query_id", "left")
         attempts = rows if attempts is None else attempts.unionByName(rows)
-        poor = judged.where(F.col("adequacy") < threshold).select("query_id")
         longer = X.expand_abbreviations(F.col("query"))
-        asked = asked.join(poor, "query_id").withColumn("query", F.when(longer == F.lower(F.col("query")), F.concat("query", F.lit(" context"))).otherwise(longer))
+        again = F.when(longer == F.lower(F.col("query")), F.concat("query", F.lit(" context"))).otherwise(longer)
+        asked = judged.where(F.col("adequacy") < threshold).select("query_id", again.alias("query"))
+        if i < rounds and asked.isEmpty():
+            break
     best = F.dense_rank().over(Window.partitionBy("query_id").orderBy(F.desc("adequacy"), F.desc("attempt")))
     return attempts.withColumn("_b", best).where("_b = 1").drop("_b")
 

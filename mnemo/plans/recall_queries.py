@@ -150,7 +150,24 @@ def recall_adequacy(spark, sf):
     return I.recall_adequacy(q, I.lexical_rank(q, docs, 1), docs)
 
 
-@query("recall_reflective")
+def _round(i: int) -> str:
+    """One attempt of reflective recall over the tokens ``t{i}``: its three best ``r{i}`` and their adequacy ``ad{i}``."""
+    return f"""l{i} AS (SELECT query_id, key, round(count(*) + 0.1 * any_value(importance), 6) AS score FROM t{i} JOIN w ON contains(w.t, token) GROUP BY ALL),
+ r{i} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key)::INT AS rank FROM l{i} QUALIFY rank <= 3),
+ in{i} AS (SELECT t{i}.query_id, token, coalesce(bool_or(contains(x.t, token)), false) AS s FROM t{i} LEFT JOIN (SELECT query_id, t FROM r{i} JOIN w USING (key)) x ON x.query_id = t{i}.query_id GROUP BY ALL),
+ ad{i} AS (SELECT query_id, round(count(*) FILTER (s) / count(*), 6) AS adequacy FROM in{i} GROUP BY 1) """
+
+
+TOKENS = "regexp_extract_all(lower(query), '[a-z0-9_]+')"
+REFLECTIVE = f"""t0 AS (SELECT DISTINCT query_id, unnest({TOKENS}) AS token FROM queries), w AS (SELECT key, importance, lower(key || ' ' || value) AS t FROM doc_memories), {_round(0)},
+ ab AS (SELECT * FROM (VALUES {', '.join(f"('{k}', '{v}')" for k, v in X.ABBREVIATIONS.items())}) AS v(short, long)), poor AS (SELECT query_id FROM ad0 WHERE adequacy < 0.95),
+ t1 AS (SELECT query_id, token FROM t0 JOIN poor USING (query_id) UNION SELECT query_id, long FROM t0 JOIN poor USING (query_id) JOIN ab ON token = short
+ UNION SELECT query_id, 'context' FROM queries JOIN poor USING (query_id) WHERE array_to_string({TOKENS}, ' ') = lower(query) AND query_id NOT IN (SELECT query_id FROM t0 JOIN ab ON token = short)), {_round(1)},
+ tries AS (SELECT query_id, adequacy, 0::INT AS attempt FROM ad0 UNION ALL SELECT query_id, adequacy, 1::INT FROM ad1), best AS (SELECT * FROM tries QUALIFY dense_rank() OVER (PARTITION BY query_id ORDER BY adequacy DESC, attempt DESC) = 1)
+ SELECT query_id, adequacy, attempt, key, score, rank FROM best LEFT JOIN (SELECT *, 0::INT AS attempt FROM r0 UNION ALL SELECT *, 1::INT FROM r1) USING (query_id, attempt)"""
+
+
+@query("recall_reflective", "doc_memories queries", REFLECTIVE)
 def recall_reflective(spark, sf):
     docs, q = docs_and_queries(spark, sf)
     return I.recall_reflective(q, lambda x: I.lexical_rank(x, docs, 3), docs, rounds=1, threshold=0.95)
@@ -218,7 +235,13 @@ def entity_boost(spark, sf):
     return H.entity_overlap_boost(T.queries(spark, sf), index(spark, sf))
 
 
-@query("recall_intelligent")
+@query("recall_intelligent", "doc_memories queries", HYBRID.replace("rank <= 10", "rank <= 30") + ", " + LEXICAL + ", " + ENTITY + f""", eq AS (SELECT DISTINCT query_id, e AS entity FROM (SELECT query_id, {WORDS.format('query')} FROM queries) {STOP}),
+ bo AS (SELECT query_id, key, least(0.4, round(0.2 * count(*), 6))::DOUBLE AS boost FROM eq JOIN ei USING (entity) GROUP BY ALL),
+ lr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS n FROM lex), er AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY boost DESC, key) AS n FROM bo WHERE boost > 0),
+ pt AS (SELECT query_id, key, 'lexical' AS signal, 0.4::DOUBLE / (60 + n) AS p FROM lr WHERE n <= 15 UNION ALL SELECT query_id, key, 'hybrid', 0.4::DOUBLE / (60 + rank) FROM hr WHERE rank <= 15 UNION ALL SELECT query_id, key, 'entity', 0.2::DOUBLE / (60 + n) FROM er WHERE n <= 15),
+ fu AS (SELECT query_id, key, sum(p) AS base, round(coalesce(sum(p) FILTER (signal = 'lexical'), 0.0), 6) AS lexical, round(coalesce(sum(p) FILTER (signal = 'hybrid'), 0.0), 6) AS hybrid, round(coalesce(sum(p) FILTER (signal = 'entity'), 0.0), 6) AS entity FROM pt GROUP BY ALL),
+ z AS (SELECT query_id, key, round(base + 0.25 * coalesce(boost, 0.0), 6) AS score, lexical, hybrid, entity FROM fu LEFT JOIN bo USING (query_id, key))
+ SELECT query_id, key, score, lexical, hybrid, entity, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key)::INT AS rank FROM z QUALIFY rank <= 5""")
 def recall_intelligent(spark, sf):
     docs, q = docs_and_queries(spark, sf)
     hybrid = I.hybrid_search(q, docs, *doc_vectors(spark, sf), 15)
