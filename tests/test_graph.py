@@ -1,8 +1,13 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
+from mnemo.functions import strength as S
 from mnemo.functions import text as X
 from mnemo.operators import graph as H
 from mnemo.operators.components import connected_components
+from mnemo.plans import fixtures as T
 
 EDGES = "source string, target string, relation_type string, weight double, edge_seq long"
 
@@ -63,3 +68,57 @@ def test_shared_entities_link_later_to_earlier(spark):
     assert {(r.key, r.boost) for r in H.entity_overlap_boost(q, index).collect()} == {("m1", 0.4), ("m2", 0.4), ("m3", 0.2)}
     nodes, edges = H.ingest(m)
     assert {tuple(r) for r in H.rebuild_index(nodes, edges).collect()} == {tuple(r) for r in index.select("entity", "key").collect()}
+
+
+def walked(edges, seeds, decay=0.5, hops=3, least=0.1):
+    """Activation by a plain walk: {node: (score, hops, path)} of one query's seeds in order."""
+    onward = {}
+    for source, target, _, weight, _ in sorted(edges, key=lambda e: e[4]):
+        onward.setdefault(source, []).append((target, weight if weight and weight > 0 else 0.5))
+    out = {n: (s, 0, [n]) for n, s in seeds}
+    frontier = list(seeds)
+    for h in range(1, hops + 1):
+        found = []
+        for node, score in frontier:
+            for target, strength in onward.get(node, []):
+                if target not in out and (s := score * decay**h * strength) >= least:
+                    out[target] = (s, h, [*out[node][2], target])
+                    found.append((target, s))
+        frontier = found
+    return out
+
+
+@pytest.fixture(scope="module")
+def web(spark):
+    """Memories of the smallest tables, edges drawn among them, and seeds of twelve queries with ties."""
+    memories = T.memories(spark, "/root/testdata/sf0.001")
+    keys = sorted(r.key for r in memories.select("key").collect())[:60]
+    rng = random.Random(4)
+    edges = [(rng.choice(keys), rng.choice(keys), "r", rng.choice([None, 0.0, 0.3, 0.6, 0.9, 1.0]), i) for i in range(400)]
+    seeds = [(q, k, rng.choice([0.5, 0.8, 1.0])) for q in range(12) for k in rng.sample(keys, 7)]
+    return memories, edges, seeds
+
+
+def test_activation_is_that_of_a_plain_walk(spark, web):
+    _, edges, seeds = web
+    rows = [(q, k, s, i) for i, (q, k, s) in enumerate(seeds)]
+    got = {}
+    for r in H.spread_activation(spark.createDataFrame(edges, EDGES), spark.createDataFrame(rows, "query_id long, node string, score double, seed_seq long"), least=0.02).collect():
+        got.setdefault(r.query_id, {})[r.node] = (pytest.approx(r.score), r.hops, list(r.path))
+    assert got == {q: walked(edges, [(k, s) for n, k, s in seeds if n == q], least=0.02) for q in range(12)}
+    assert max(x[1] for one in got.values() for x in one.values()) >= 2
+
+
+def test_graph_recall_is_that_of_a_plain_walk(spark, web):
+    memories, edges, seeds = web
+    strength = {r.key: r.strength for r in memories.select("key", S.entry_strength(T.NOW)["strength"].alias("strength")).collect()}
+    want = set()
+    for q in range(12):
+        first = sorted(((k, s) for n, k, s in seeds if n == q), key=lambda x: (-x[1], x[0]))[:5]
+        top = sorted(walked(edges, first).items(), key=lambda x: (-round(x[1][0], 9), x[0]))[:10]
+        best = sorted((-round(score * (0.5 + 0.5 * strength[k]), 6), k) for k, (score, _, _) in top)[:5]
+        want |= {(q, k, n) for n, (_, k) in enumerate(best, 1)}
+    asked = spark.createDataFrame(seeds, "query_id long, key string, importance double")
+    got = H.graph_recall(asked, memories, spark.createDataFrame(edges, EDGES), T.NOW)
+    assert {(r.query_id, r.key, r.rank) for r in got.collect()} == want
+    assert H.graph_recall(asked.limit(0), memories, spark.createDataFrame(edges, EDGES), T.NOW).count() == 0

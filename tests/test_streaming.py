@@ -75,3 +75,19 @@ def test_metrics_and_sessions(spark, commits, tmp_path):
 def test_expiry_by_event_time(spark, commits, tmp_path):
     entries = read(spark, commits).select("key", "ts", F.when(F.col("key") == "k0", 60.0).otherwise(1e9).alias("ttl"), F.lit(None).cast("double").alias("invalid_at"))
     assert {r.key for r in run(spark, J.stream_expiry(entries, "0 seconds"), tmp_path).collect()} == {"k0"}
+
+
+def test_recent_accesses_of_each_key(spark, commits, tmp_path):
+    got = run(spark, J.stream_recent(read(spark, commits, 10)), tmp_path).select("key", F.unix_timestamp("at").alias("at"), "n").collect()
+    ended = max(r[0] for r in DATA) * 600 - 600  # the watermark
+    want = {(r[1], r[0] * 600 + late, 1) for r in DATA for late in range(10, 70, 10) if r[0] * 600 + late <= ended}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_evicted_entries_go_to_the_callback(spark):
+    batch = spark.createDataFrame([("s", 1, "a", None, 1), ("s", 2, "b", "a", 1), ("t", 3, "c", "x", 1), ("t", 4, "d", None, 2)], "session_id string, seq long, key string, evicted string, held int")
+    got = []
+    J.consolidate_with(lambda df: got.extend(df.collect()))(batch, 0)
+    assert sorted((r.session_id, r.evicted) for r in got) == [("s", "a"), ("t", "x")]
+    J.consolidate_with(lambda df: got.extend(df.collect()))(batch.limit(0), 1)
+    assert len(got) == 2
