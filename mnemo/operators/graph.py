@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemo.functions import strength as S
@@ -10,6 +10,7 @@ from mnemo.functions import text as X
 from mnemo.operators.components import connected_components
 from mnemo.operators.search import rank_by
 from mnemo.sources.durable import durable
+from mnemo.sources.tables import import_graph
 
 
 def entity_index(memories: DataFrame) -> DataFrame:
@@ -41,6 +42,12 @@ def rebuild_index(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return e.select(F.col("target").alias("entity"), F.col("source").alias("key")).distinct()
 
 
+def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, index) of an exported graph, its index of entities rebuilt."""
+    nodes, edges = import_graph(spark, path)
+    return nodes, edges, rebuild_index(nodes, edges)
+
+
 def cross_memory_links(index: DataFrame, max_df: int | None = None) -> DataFrame:
     """(source, target): each memory and every earlier one that shares an entity.
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from mnemo.functions import hooks
 from mnemo.operators import graph as H
 from mnemo.operators import upsert as U
 from mnemo.plans import fixtures as T
+from mnemo.plans.recall_queries import ENTITY
 from mnemo.plans.registry import query
 from mnemo.sources import tables as A
+from mnemo.sources.durable import job_dir
 
 
 @query("export_memories", "memories", "SELECT key, memory_type, value, round(importance, 6) AS importance, is_verified FROM memories ORDER BY created_at DESC, key LIMIT 1000")
@@ -48,12 +52,20 @@ def explode_json_memories(spark, sf):
     return A.explode_json_memories(docs).withColumnRenamed("key", "event_id")
 
 
-@query("rebuild_entity_index")
+@query("rebuild_entity_index", "doc_memories", ENTITY + "SELECT entity, key FROM ei")
 def rebuild_entity_index(spark, sf):
     nodes, edges = H.ingest(T.doc_memories(spark, sf))
     return H.rebuild_index(nodes, edges)
 
 
+@query("graph_reimport", "doc_memories", ENTITY + "SELECT entity, key FROM ei")
+def graph_reimport(spark, sf):
+    """The graph of all documents written, read again, and its index rebuilt."""
+    path = f"{job_dir(spark)}/graph-{uuid.uuid4().hex}"
+    A.export_graph(*H.ingest(T.doc_memories(spark, sf)), path)
+    return H.load_graph(spark, path)[2]
+
+
 @query("upsert_nodes", "kg_edges", "e AS (SELECT source AS name, relation_type AS k, max_by(target, seq) AS v FROM (SELECT *, row_number() OVER (ORDER BY source, target, relation_type) AS seq FROM kg_edges) GROUP BY ALL) SELECT name, 'node' AS node_type, string_agg(k || '=' || v, ',' ORDER BY k) AS properties FROM e GROUP BY 1")
 def upsert_nodes(spark, sf):
     e = T.kg_edges(spark, sf)

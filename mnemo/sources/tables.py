@@ -20,7 +20,11 @@ SECTIONS = {
 
 
 def read_memories(spark: SparkSession, path: str, **jdbc: str) -> DataFrame:
-    """A memory table from Parquet, or by JDBC when options for it are given."""
+    """A memory table from Parquet, with nulls for columns the files lack, or by JDBC when options for it are given.
+
+    A large table is read by many tasks only with ``partitionColumn``,
+    ``lowerBound``, ``upperBound`` and ``numPartitions`` among the options.
+    """
     return spark.read.format("jdbc").options(**jdbc).load() if jdbc else spark.read.schema(MEMORIES).parquet(path)
 
 
@@ -71,7 +75,7 @@ def export_graph(nodes: DataFrame, edges: DataFrame, path: str, stats: DataFrame
 
 
 def import_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges); ``graph.rebuild_index`` gives the index of entities that belongs to them."""
+    """(nodes, edges); ``graph.load_graph`` gives the index of entities as well."""
     return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
 
 

@@ -49,6 +49,13 @@ def test_files_come_back(spark, tmp_path):
     assert [x.count() for x in A.import_graph(spark, f"{tmp_path}/g")] == [3, 2]
 
 
+def test_memory_tables_are_read_in_their_columns(spark, tmp_path):
+    spark.createDataFrame([("k", "v", 0.5, "mine"), (None, None, None, None)], "key string, value string, importance double, extra string").write.parquet(f"{tmp_path}/m")
+    got = A.read_memories(spark, f"{tmp_path}/m")
+    assert got.schema == spark.createDataFrame([], A.MEMORIES).schema
+    assert sorted((r.key or "", r.value, r.importance, r.ttl, r.ccs_dimensions) for r in got.collect()) == [("", None, None, None, None), ("k", "v", 0.5, None, None)]
+
+
 def test_ranking(spark):
     docs = spark.createDataFrame([("a", "spark joins tables", 0.5, False), ("b", "spark", 0.5, False), ("c", "nothing", 0.5, True)], "key string, value string, importance double, is_verified boolean")
     q = spark.createDataFrame([(1, "spark tables"), (2, "zzz")], "query_id long, query string")
