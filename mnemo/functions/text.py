@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed values (synonyms without the names of products).
+#: Capitalised words that are no entities (fixed values).
 ENTITY_STOP = ("the", "and", "for", "that", "this", "with", "from", "have")
+#: Groups of synonyms by name, without the names of products (fixed values).
 SYNONYMS = {
     "verification": ("verify", "verified", "verification_score", "z3", "formal"),
     "belief": ("belief", "revision", "agm", "contradiction", "conflict"),
@@ -19,8 +20,11 @@ SYNONYMS = {
     "cfo": ("cfo", "finance", "accounting", "erp"),
     "benchmark": ("benchmark", "score", "evaluation", "longmemeval", "recall"),
 }
+#: Abbreviations and their long forms (fixed values).
 ABBREVIATIONS = {"k8s": "kubernetes", "deploy": "deployment", "infra": "infrastructure", "db": "database", "svc": "service", "cfg": "configuration", "authn": "authentication", "authz": "authorization", "perf": "performance", "obs": "observability"}
+#: Words that tell a query's kind, tried in order (fixed values).
 QUERY_KINDS = {"temporal": ("when", "before", "after", "first", "order", "timeline"), "causal": ("why", "because", "reason", "cause"), "factual": ("who", "what", "which", "how many"), "relational": ("how", "connect", "relate", "link")}
+#: Words that tell what kind of time a query asks for, tried in order (fixed values).
 TEMPORAL_KINDS = {
     "when": ("when", "date", "time", "day", "month"),
     "before": ("before", "earlier", "prior", "first"),
@@ -28,10 +32,13 @@ TEMPORAL_KINDS = {
     "duration": ("how long", "duration", "between", "gap", "elapsed"),
     "ordering": ("order", "sequence", "chronolog", "timeline"),
 }
-KEYWORD_STOP = tuple(
-    """what when where who how which did do was were have has had is are the a an my me i you your their it its in on at to for of with by from ago last that this there about
-    get got give gave buy bought made make been being could would should will can may might shall must need dare ought used like just also then than more very much many some any every each
-    both few other another such even still already yet ever never always often sometimes usually here there now today yesterday tomorrow really actually probably perhaps maybe sure yes no not""".split()
+#: Words that are no keywords (fixed values).
+KEYWORD_STOP = (
+    "what", "when", "where", "who", "how", "which", "did", "do", "was", "were", "have", "has", "had", "is", "are", "the", "a", "an", "my", "me", "i", "you", "your", "their", "it",
+    "its", "in", "on", "at", "to", "for", "of", "with", "by", "from", "ago", "last", "that", "this", "there", "about", "get", "got", "give", "gave", "buy", "bought", "made",
+    "make", "been", "being", "could", "would", "should", "will", "can", "may", "might", "shall", "must", "need", "dare", "ought", "used", "like", "just", "also", "then", "than",
+    "more", "very", "much", "many", "some", "any", "every", "each", "both", "few", "other", "another", "such", "even", "still", "already", "yet", "ever", "never", "always",
+    "often", "sometimes", "usually", "here", "there", "now", "today", "yesterday", "tomorrow", "really", "actually", "probably", "perhaps", "maybe", "sure", "yes", "no", "not",
 )
 
 
