@@ -8,15 +8,24 @@ from pyspark.sql import functions as F
 from mnemo.sources.durable import durable
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """One large and one small star step over (u, v), u > v."""
+#: Up to so many edges, a round's smallest neighbours (at most two rows an edge, each a pair of nodes) are broadcast.
+SMALL_EDGES = 100_000
+#: A round is written in a file for so many edges.
+FILE_EDGES = 50_000
+
+
+def _stars(edges: DataFrame, n: int) -> DataFrame:
+    """One large and one small star step over ``n`` edges (u, v), u > v; neither makes more edges."""
+    small = n <= SMALL_EDGES
+    table = F.broadcast if small else lambda df: df
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    large = both.where("v > u").join(table(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    large = large if small else large.distinct()  # its shuffle serves both uses below; few edges are cheaper joined again
     least = large.groupBy("u").agg(F.min("v").alias("m"))
-    joined = large.join(least, "u")
-    small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-    return small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    nearer = large.join(table(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    out = nearer.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    return out.coalesce(1 + n // FILE_EDGES)
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -34,7 +43,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     for _ in range(most_rounds):
         if not was[0]:
             break
-        held = durable(_stars(held))
+        held = durable(_stars(held, was[0]))
         now = mark(held)
         if now == was:
             break
