@@ -81,7 +81,7 @@ def relations(edges: DataFrame, starts: DataFrame, types: list[str] | None = Non
 
 def traverse(edges: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:
     """(start, node, depth): breadth-first from every start at once, a bounded number of joins."""
-    hop = edges.select("source", "target").distinct()
+    hop = durable(edges.select("source", "target").distinct())
     seen = frontier = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth"))
     for d in range(1, depth + 1):
         nxt = frontier.join(hop, F.col("node") == F.col("source")).select("start", F.col("target").alias("node")).distinct()

@@ -208,16 +208,18 @@ def lexical_rank(queries: DataFrame, memories: DataFrame, k: int | None = None)
     run that have a token's length, and carry their tokens to the documents.
     """
     tokens = durable(queries.select("query_id", F.explode(F.array_distinct(X.query_tokens(F.col("query")))).alias("token")))
-    words = tokens.select("token").distinct()
+    words = durable(tokens.select("token").distinct().withColumn("id", F.monotonically_increasing_id()))  # numbers, as written, are the tokens from here on
     lengths = F.array(*[F.lit(r[0]) for r in words.select(F.length("token")).distinct().collect()] or [F.lit(1)])
     text = F.lower(F.concat_ws(" ", "key", "value"))
-    runs = memories.select("key", F.explode(F.array_distinct(X.query_tokens(text))).alias("run"))
+    texts = durable(memories.select("key", "importance", F.array_distinct(X.query_tokens(text)).alias("runs")))  # tokenised once for all that follows
+    runs = texts.select("key", F.explode("runs").alias("run"))
     parts = runs.select("run").distinct().select("run", F.explode(F.filter(lengths, lambda n: n <= F.length("run"))).alias("n"))
     parts = parts.select("run", "n", F.explode(F.sequence(F.lit(1), F.length("run") - F.col("n") + 1)).alias("at")).select("run", F.substr("run", F.col("at"), F.col("n")).alias("token"))
-    matched = durable(parts.join(small(words), "token").groupBy("run").agg(F.collect_set("token").alias("tokens")))
-    hits = runs.join(small(matched), "run").select("key", F.explode("tokens").alias("token")).distinct()
-    counts = hits.join(small(tokens), "token").groupBy("query_id", "key").agg(F.count("*").alias("n"))
-    out = counts.join(memories.select("key", "importance"), "key").select("query_id", "key", F.round(F.col("n") + 0.1 * F.col("importance"), 6).alias("score"))
+    matched = durable(parts.join(small(words), "token").groupBy("run").agg(F.collect_set("id").alias("ids")))
+    hits = runs.join(small(matched), "run").select("key", F.explode("ids").alias("id")).distinct()
+    numbered = tokens.join(small(words), "token").select("query_id", "id")
+    counts = hits.join(small(numbered), "id").groupBy("query_id", "key").agg(F.count("*").alias("n"))
+    out = counts.join(texts.select("key", "importance"), "key").select("query_id", "key", F.round(F.col("n") + 0.1 * F.col("importance"), 6).alias("score"))
     return rank_by(out, [F.desc("score"), F.col("key")], k)
 
 
