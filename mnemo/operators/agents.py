@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemo.operators.search import small
+
 
 def push(beliefs: DataFrame, entries: DataFrame) -> DataFrame:
     """Beliefs of each (agent, key) with entries merged in: strictly newer ones replace."""
@@ -17,14 +19,14 @@ def pull(beliefs: DataFrame, into: DataFrame, since: float = 0.0, sources: DataF
     """What the agents of ``into`` (agent_id) adopt: the newest entry of another agent that is newer than their own.
 
     Each key's two newest entries of different agents are enough to answer for
-    any agent, so agents are not multiplied with all entries.
+    any agent, so agents are not multiplied with all entries.  The answer has
+    a row for each agent and key still, so few agents (counted) are broadcast.
     """
     offered = beliefs.join(sources, "agent_id", "left_semi") if sources is not None else beliefs
     offered = offered.where(F.col("created_at") >= since)
     n = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("created_at"), "seq"))
     best = offered.withColumn("_n", n).where("_n <= 2").select("key", F.col("agent_id").alias("from_agent"), "value", "created_at", "seq", "_n")
-    targets = F.broadcast(into.select("agent_id").distinct()) if into.isLocal() else into.select("agent_id").distinct()
-    asked = best.join(targets, F.col("agent_id") != F.col("from_agent"))
+    asked = best.join(small(into.select("agent_id").distinct()), F.col("agent_id") != F.col("from_agent"))
     first = F.row_number().over(Window.partitionBy("agent_id", "key").orderBy("_n"))
     asked = asked.withColumn("_k", first).where("_k = 1")
     own = beliefs.select("agent_id", "key", F.col("created_at").alias("own_at"))
