@@ -310,7 +310,11 @@ def new_value(kind: Column, value: Column, attempt: Column, key: Column | str) -
 
 
 def respelled(e: Column, kind: Column, new: Column) -> Column:
-    """A surrogate value as ``e`` is spelled."""
+    """A surrogate value as ``e`` is spelled; ``new`` stands once in the plan, however often it is read."""
+    return let(new, lambda bound: _respelled(e, kind, bound))
+
+
+def _respelled(e: Column, kind: Column, new: Column) -> Column:
     local = lambda x: F.substring_index(x, "@", 1)
     cased = F.array_join(F.transform(F.split(local(new), ""), lambda c, i: F.when(F.substr(local(e), i + 1, F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
     quad = lambda k: F.substr(new, F.lit(4 * k + 1), F.lit(4))

@@ -258,6 +258,15 @@ def test_spellings_of_a_number_have_one_surrogate_and_no_plan_holds_the_key(spar
     assert own.first().text not in (text, out.first().text)
 
 
+def test_a_surrogate_stands_once_in_the_plan(spark):
+    """The driver holds every plan; it had each surrogate's expression some 25 times, over 50,000 nodes."""
+    df = spark.createDataFrame([(1, TEXT)], "doc_id long, text string")
+    query = pii.replace_documents(df)._jdf.queryExecution()
+    for plan in (query.analyzed(), query.optimizedPlan()):
+        assert sum(len(re.findall(r"\bsha2\(", x)) for x in plan.toString().split("\n")) < 40
+        assert len(plan.toString()) < 100_000
+
+
 def test_surrogates_keep_form_and_coreference(spark, odd):
     clean = "Nothing of the kind. 9.9. Chapter 12, 10:20:30, a::b, std::dec, 1,030 1234567 or 2 030 405 060."
     df = spark.createDataFrame([(1, TEXT), (2, NAMES), (3, clean), (4, TEXT), (5, MORE)], "doc_id long, text string")
