@@ -1,12 +1,17 @@
 """Rankings over all documents write to disk what grows with the results, not with documents times queries."""
 
+import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from mnemo.operators import scan as K
 from mnemo.operators import search as I
+from mnemo.plans import catalog
 
+SF = "/root/testdata/sf0.001"
 LETTERS = "abcdefghij"
 
 
@@ -56,3 +61,21 @@ def test_lexical_rank(spark, tables):
     assert every.count() > 50 * 20 and every.where("score IS NULL").select("key").distinct().collect() == [("none",)]
     last = every.groupBy("query_id").agg(F.max_by("key", "rank").alias("key"))
     assert last.where("key <> 'none'").count() == 0
+
+
+def test_adequacy_shuffles_only_the_texts_of_results(spark, tables):
+    docs, asked = tables
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got, tries = [], []
+        assert shuffled(spark, lambda: got.extend(I.recall_adequacy(asked, I.lexical_rank(asked, docs, 1), docs).collect())) < 400_000
+        assert shuffled(spark, lambda: tries.extend(I.recall_reflective(asked, lambda x: I.lexical_rank(x, docs, 3), docs, 1, 0.95).collect())) < 1_200_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    texts = {r.key: f"{r.key} {r.value}".lower() for r in docs.collect()}
+    best = {q: key for q, key, _, _ in lexical_by_hand(docs, asked, 1)}
+    for r in got:
+        tokens = set(next(q.query for q in asked.collect() if q.query_id == r.query_id).lower().split())
+        assert r.adequacy == pytest.approx(sum(t in texts[best[r.query_id]] for t in tokens) / len(tokens), abs=1e-6)
+    assert {r.query_id for r in tries} == set(best)
