@@ -79,3 +79,43 @@ def test_adequacy_shuffles_only_the_texts_of_results(spark, tables):
         tokens = set(next(q.query for q in asked.collect() if q.query_id == r.query_id).lower().split())
         assert r.adequacy == pytest.approx(sum(t in texts[best[r.query_id]] for t in tokens) / len(tokens), abs=1e-6)
     assert {r.query_id for r in tries} == set(best)
+
+
+def bm25_by_hand(docs, asked, k):
+    import math
+    import re
+    from collections import Counter
+
+    rows = docs.collect()
+    found = {r.key: Counter(re.findall("[a-z0-9]{2,}", (r.value or "").lower())) for r in rows}
+    weight = {r.key: 1 + 0.3 * r.importance + 0.2 * r.is_verified for r in rows}
+    mean = sum(map(Counter.total, found.values())) / len(rows)
+    df = Counter(t for c in found.values() for t in c)
+    out = []
+    for q in asked.collect():
+        terms = Counter(re.findall("[a-z0-9]{2,}", q.query.lower()))
+        part = lambda c, t, n: n * math.log((len(rows) - df[t] + 0.5) / (df[t] + 0.5) + 1) * c[t] * 2.5 / (c[t] + 1.5 * (0.25 + 0.75 * c.total() / mean))
+        scores = [(-round(weight[key] * sum(part(c, t, n) for t, n in terms.items() if t in c), 6), key) for key, c in found.items() if any(t in c for t in terms)]
+        out += [(q.query_id, key, -s, r) for r, (s, key) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(out)
+
+
+def test_bm25_search(spark, tables):
+    docs, asked = tables
+    got = []
+    assert shuffled(spark, lambda: got.extend(I.bm25_search(asked, docs, 5).collect())) < 200_000
+    got, want = sorted((r.query_id, r.key, r.score, r["rank"]) for r in got), bm25_by_hand(docs, asked, 5)
+    assert [(q, k, r) for q, k, _, r in got] == [(q, k, r) for q, k, _, r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=1.1e-6)
+
+
+def test_blocks_of_queries_and_parts_of_documents_change_nothing(spark, tables, monkeypatch):
+    docs, asked = tables
+    few = docs.limit(300)
+    run = lambda: [sorted(map(tuple, f(asked, few, 3).collect())) for f in (I.bm25_search, I.lexical_rank)]
+    want = run()
+    monkeypatch.setattr(K, "blocks", lambda terms, size=60, f=K.blocks: f(terms, size))
+    assert run() == want and all(len(w) == 120 for w in want)
+    best = K.Best(2, 2)
+    for a in range(0, 400_000, 50_000):  # cut on the way
+        best.add(np.tile([0, 1], 25_000), np.repeat(np.arange(a, a + 50_000) // 2 % 7, 1).astype(float), lambda at: np.array([f"k{i:06}" for i in at], object))
+    assert best.n < 200_000 and list(best.cut()[1]) == [6.0] * 4
