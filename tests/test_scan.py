@@ -119,3 +119,11 @@ def test_blocks_of_queries_and_parts_of_documents_change_nothing(spark, tables,
     for a in range(0, 400_000, 50_000):  # cut on the way
         best.add(np.tile([0, 1], 25_000), np.repeat(np.arange(a, a + 50_000) // 2 % 7, 1).astype(float), lambda at: np.array([f"k{i:06}" for i in at], object))
     assert best.n < 200_000 and list(best.cut()[1]) == [6.0] * 4
+
+
+def test_keyword_search_shuffles_little(spark, tables):
+    docs, asked = tables
+    more = asked.unionByName(spark.createDataFrame([(99, "zz%$ 9 "), (98, None)], asked.schema))
+    got = []
+    assert shuffled(spark, lambda: got.extend(I.keyword_search(more, docs, 5).collect())) < 300_000
+    assert len(got) == 5 * 40 and {r["rank"] for r in got} == set(range(1, 6))
