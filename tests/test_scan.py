@@ -127,3 +127,13 @@ def test_keyword_search_shuffles_little(spark, tables):
     got = []
     assert shuffled(spark, lambda: got.extend(I.keyword_search(more, docs, 5).collect())) < 300_000
     assert len(got) == 5 * 40 and {r["rank"] for r in got} == set(range(1, 6))
+
+
+def plan_of(spark, name: str) -> str:
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    return catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reranked_memories_are_not_numbered_in_one_task(spark):
+    assert "dense_rank" not in plan_of(spark, "rerank_decay")
