@@ -137,3 +137,7 @@ def plan_of(spark, name: str) -> str:
 
 def test_reranked_memories_are_not_numbered_in_one_task(spark):
     assert "dense_rank" not in plan_of(spark, "rerank_decay")
+
+
+def test_truth_is_looked_up_for_the_results_only(spark):
+    assert "NestedLoop" not in plan_of(spark, "retrieval_eval")
